@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontaminate, lm, packing, pii, toxicity, warc
+from . import ann, bpe, chat, decontaminate, lm, minhash, packing, pii, toxicity, warc
 from .common import new_path, table
 
 
@@ -53,10 +53,20 @@ def op8_toxicity(spark, d):
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op9_minhash(spark, d):
+    return minhash.classes(table(spark, d, "documents"))
+
+
+def pipeline(spark, d):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, d)
+
+
 def op10_lm_scoring(spark, d):
     docs = table(spark, d, "documents")
     return lm.score(docs, *lm.train(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op3_pii, op4_ann, op5_warc, op6_packing, op8_toxicity, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op3_pii, op4_ann, op5_warc, op6_packing, op8_toxicity, op9_minhash, op10_lm_scoring, pipeline)}
 ORACLES: dict[str, str] = {}
