@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontaminate, lm, minhash, packing, pii, toxicity, warc
+from . import ann, bpe, chat, decontaminate, lm, minhash, packing, pii, suffix, toxicity, warc
 from .common import new_path, table
 
 
@@ -46,6 +46,10 @@ def op6_packing(spark, d):
     return packing.pack(table(spark, d, "documents"), lambda: bpe.encoder(ranks))
 
 
+def op7_suffix_dedup(spark, d):
+    return suffix.remove_repeats(table(spark, d, "documents"))
+
+
 def op8_toxicity(spark, d):
     docs = table(spark, d, "documents")
     model = toxicity.train(docs, table(spark, d, "labels"))
@@ -68,5 +72,5 @@ def op10_lm_scoring(spark, d):
     return lm.score(docs, *lm.train(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op3_pii, op4_ann, op5_warc, op6_packing, op8_toxicity, op9_minhash, op10_lm_scoring, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op3_pii, op4_ann, op5_warc, op6_packing, op7_suffix_dedup, op8_toxicity, op9_minhash, op10_lm_scoring, pipeline)}
 ORACLES: dict[str, str] = {}
