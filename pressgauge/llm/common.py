@@ -16,6 +16,13 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/pressgauge-checkpoints").rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Rows that go to a Python worker at once, for operators whose workers hold several arrays per text byte."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, rows)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 

@@ -21,14 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, small_batches
 from .minhash import _batches
 from .shingles import mix, powers, prefix_hash
 
 WINDOW, GRAM = 200, 32
 _LOW = np.uint64(0xFFFFFF)
 #: Contexts whose suffixes are sorted together, and occurrences combined before they are sent.
-BLOCK, COMBINE = 20_000, 400_000
+BLOCK, COMBINE = 10_000, 150_000
+#: Characters a worker hashes at once, a few dozen bytes of arrays each.
+CHARS = 250_000
 
 
 def gsaca(t: list[int]) -> list[int]:
@@ -149,7 +151,7 @@ def contexts(docs: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches):
         held, n = [], 0
-        for b, texts in _batches(batches, 2):
+        for b, texts in _batches(batches, 2, CHARS):
             doc, first, last, place, h, c = anchors(_raw(texts))
             if len(doc):
                 k1, k2 = b.column(0).to_numpy()[doc], b.column(1).to_numpy()[doc]
@@ -324,7 +326,7 @@ def occurrences(docs: DataFrame, text_col: str) -> DataFrame:
     """(h, c, k1, k2, first) of every context, each text once a task."""
 
     def run(batches):
-        for b, texts in _batches(batches, 2):
+        for b, texts in _batches(batches, 2, CHARS):
             doc, first, _, _, h, c = anchors(_raw(texts))
             k1, k2 = b.column(0).to_numpy()[doc], b.column(1).to_numpy()[doc]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, c, k1, k2)] + [pa.array(first.astype(np.int32))], names=["h", "c", "k1", "k2", "first"])
@@ -351,6 +353,7 @@ def kept_parts(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, list
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes)."""
+    small_batches(docs.sparkSession)
     found = saved(repeated(docs, text_col), "contexts")
     texts = once_a_task(docs, text_col)
     whole = found.filter("whole").select("h", "c", F.lit(0).alias("begin"), (F.col("last") - F.col("first") + WINDOW).cast("int").alias("stop"))
