@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 #: Words with an entry, hashed entries for all others, words a class, embedding and hidden sizes, words on each side.
-VOCAB, HASHED, PER_CLASS, DIM, HIDDEN, SIDE = 4000, 96, 64, 16, 32, 2
+VOCAB, HASHED, PER_CLASS, DIM, HIDDEN, SIDE = 4000, 96, 128, 16, 32, 2
 #: Documents of the starting fit (its bound), tokens of a training step, learning rate.
-WARM_DOCS, STEP, RATE = 300, 4096, 0.02
+WARM_DOCS, STEP, RATE = 300, 16_384, 0.04
 SIZE = VOCAB + HASHED  # a multiple of PER_CLASS
 CLASSES = SIZE // PER_CLASS
 PAD = SIZE
@@ -136,7 +138,7 @@ class Network:
             if len(d):
                 held.append(d)
                 n += len(d)
-            if n >= 8 * STEP:
+            if n >= 4 * STEP:
                 total += self._pass(held, seen, epochs_of_buffer)
                 held, n = [], 0
         return total + (self._pass(held, seen, epochs_of_buffer) if held else 0)
@@ -170,7 +172,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, np.ndarray]:
     """The VOCAB most frequent words (ties by word) and the counts of all entries, hashed ones included."""
-    counts = word_counts(docs, text_col)
+    counts = saved(word_counts(docs, text_col), "words")  # read twice below
     ranked = counts.withColumn("h", F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(HASHED)).cast("int"))
     top = ranked.orderBy(F.desc("n"), "word").limit(VOCAB).collect()
     v = Vocabulary([r.word for r in top])
