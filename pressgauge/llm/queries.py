@@ -21,7 +21,11 @@ def op2_chat_formatting(spark, d):
 
 def op3_pii(spark, d):
     s = pii.spans(table(spark, d, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+
+    def count(k):
+        return F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+
+    counts = [count(k) for k in pii.KINDS]
     return s.select("doc_id", *counts[:4], F.sha2(pii.joined("spans", pii.BASE), 256).alias("base_sha256"), pii.joined("spans").alias("spans"), *counts[4:])
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 from pyspark.sql import functions as F
@@ -59,3 +60,14 @@ def test_redaction(spark):
 def test_native_plan(spark):
     plan = pii.spans(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_query_counts(spark):
+    from pressgauge.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    for r in queries.op3_pii(spark, d).collect():
+        b = base(texts[r.doc_id] or "")
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(x.startswith(k) for x in b) for k in ("email", "ip", "card", "phone"))
+        assert r.base_sha256 == hashlib.sha256(",".join(b).encode()).hexdigest()
