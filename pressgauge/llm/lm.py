@@ -23,8 +23,8 @@ from .common import saved
 
 #: Words with an entry, hashed entries for all others, words a class, embedding and hidden sizes, words on each side.
 VOCAB, HASHED, PER_CLASS, DIM, HIDDEN, SIDE = 4000, 96, 128, 16, 32, 2
-#: Documents of the starting fit (its bound), tokens of a training step, learning rate.
-WARM_DOCS, STEP, RATE = 300, 16_384, 0.04
+#: Documents of the starting fit and, of each, runs of words and words a run (its bound), tokens of a training step, rate.
+WARM_DOCS, RUNS, RUN, STEP, RATE = 300, 20, 100, 16_384, 0.04
 SIZE = VOCAB + HASHED  # a multiple of PER_CLASS
 CLASSES = SIZE // PER_CLASS
 PAD = SIZE
@@ -187,14 +187,20 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, np.
 _CHUNK = 16_384
 
 
+def _runs(text_col: str):
+    """The whole text's words, or RUNS runs of RUN words spread evenly over all of it where it has more than that."""
+    w = F.split(F.lower(text_col), r"(?U)[^\w]+")
+    spread = F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda i: F.slice(w, F.floor(i * F.size(w) / RUNS).cast("int") + 1, F.lit(RUN)))
+    return F.when(F.size(w) <= RUNS * RUN, F.array(w)).otherwise(spread)
+
+
 def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[Vocabulary, Network]:
     """Vocabulary and network of a corpus. Parameters travel in chunks, are averaged on executors, and arrive once."""
     spark = docs.sparkSession
     vocab, counts = vocabulary(docs, text_col)
     sample = docs.filter(F.length(text_col) > 0).orderBy(F.xxhash64(id_col, text_col), id_col).limit(WARM_DOCS)
     warm = Network.start(counts)
-    cut = sample.select(F.slice(F.split(F.lower(text_col), r"(?U)[^\w]+"), 1, 2000).alias("w")).collect()  # a bounded fit
-    warm.train((vocab(" ".join(r.w)) for r in cut), 4)
+    warm.train((vocab(" ".join(run)) for r in sample.select(_runs(text_col).alias("runs")).collect() for run in r.runs), 4)
     shared = spark.sparkContext.broadcast((vocab, warm))  # a fixed size
 
     def local(batches):
