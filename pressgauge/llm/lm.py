@@ -72,58 +72,71 @@ class Network:
 
     def _hidden(self, ctx):
         x = self.p["emb"][ctx].reshape(len(ctx), -1)
-        return x, np.tanh(x @ self.p["w1"] + self.p["b1"])
+        h = x @ self.p["w1"]
+        h += self.p["b1"]
+        return x, np.tanh(h, out=h)
 
     @staticmethod
-    def _softmax(z):
-        z = z - z.max(1, keepdims=True)
+    def _exp(h, w, b):
+        """(logits, their exponentials, sums), one column a row of ``h``; |h| <= 1 bounds logits, so few need the maximum."""
+        z = w.T @ h.T
+        z += b[:, None]
+        if (np.abs(w).sum(0) + np.abs(b)).max() > 60:
+            z -= z.max(0)
         e = np.exp(z)
-        s = e.sum(1, keepdims=True)
-        return e / s, z - np.log(s)
+        return z, e, e.sum(0)
 
-    def _groups(self, classes):
-        order = np.argsort(classes, kind="stable")
-        cut = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-        return [(c, order[cut[c] : cut[c + 1]]) for c in range(CLASSES) if cut[c] < cut[c + 1]]
+    @staticmethod
+    def _by_class(tokens, ctx):
+        """Rows in order of class: (order, class, word in class, contexts, bounds of the classes present)."""
+        k = (tokens // PER_CLASS).astype(np.uint16)  # numpy sorts 16-bit integers by radix
+        order = np.argsort(k, kind="stable")
+        k, t = k[order], tokens[order]
+        cut = np.searchsorted(k, np.arange(CLASSES + 1)).tolist()
+        return order, k, t % PER_CLASS, ctx[order], [(c, cut[c], cut[c + 1]) for c in range(CLASSES) if cut[c] < cut[c + 1]]
 
     def log_probs(self, tokens: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-        out = np.empty(len(tokens), np.float64)
-        for at in range(0, len(tokens), 16_384):
-            t, c = tokens[at : at + 16_384], ctx[at : at + 16_384]
+        out, p = np.empty(len(tokens), np.float64), self.p
+        for at in range(0, len(tokens), STEP):
+            order, k, w, c, groups = self._by_class(tokens[at : at + STEP], ctx[at : at + STEP])
             _, h = self._hidden(c)
-            k, w = t // PER_CLASS, t % PER_CLASS
-            lp = self._softmax(h @ self.p["wc"] + self.p["bc"])[1][np.arange(len(t)), k].astype(np.float64)
-            for g, rows in self._groups(k):
-                lp[rows] += self._softmax(h[rows] @ self.p["ww"][g] + self.p["bw"][g])[1][np.arange(len(rows)), w[rows]]
-            out[at : at + len(t)] = lp
+            z, _, s = self._exp(h, p["wc"], p["bc"])
+            lp = z[k, np.arange(len(k))].astype(np.float64) - np.log(s)
+            for g, i, j in groups:
+                z, _, s = self._exp(h[i:j], p["ww"][g], p["bw"][g])
+                lp[i:j] += z[w[i:j], np.arange(j - i)] - np.log(s)
+            out[at + order] = lp
         return out
 
     def step(self, tokens: np.ndarray, ctx: np.ndarray, seen: dict[str, np.ndarray], rate: float = RATE) -> None:
         """One Adagrad step on the mean log-loss of a batch."""
         n, p = len(tokens), self.p
+        _, k, w, ctx, groups = self._by_class(tokens, ctx)
         x, h = self._hidden(ctx)
-        k, w = tokens // PER_CLASS, tokens % PER_CLASS
-        d = self._softmax(h @ p["wc"] + p["bc"])[0]
-        d[np.arange(n), k] -= 1
-        d /= n
-        back = d @ p["wc"].T
-        grads = {"wc": h.T @ d, "bc": d.sum(0)}
-        for g, rows in self._groups(k):
-            e = self._softmax(h[rows] @ p["ww"][g] + p["bw"][g])[0]
-            e[np.arange(len(rows)), w[rows]] -= 1
-            e /= n
-            back[rows] += e @ p["ww"][g].T
-            for name, grad in (("ww", h[rows].T @ e), ("bw", e.sum(0))):
+        _, d, s = self._exp(h, p["wc"], p["bc"])
+        d *= 1 / (s * n)
+        d[k, np.arange(n)] -= np.float32(1 / n)
+        back = d.T @ p["wc"].T
+        grads = {"wc": (d @ h).T, "bc": d.sum(1)}
+        for g, i, j in groups:
+            hg = h[i:j]
+            _, e, s = self._exp(hg, p["ww"][g], p["bw"][g])
+            e *= 1 / (s * n)
+            e[w[i:j], np.arange(j - i)] -= np.float32(1 / n)
+            back[i:j] += e.T @ p["ww"][g].T
+            for name, grad in (("ww", (e @ hg).T), ("bw", e.sum(1))):
                 seen[name][g] += grad * grad
                 p[name][g] -= rate * grad / np.sqrt(seen[name][g])
         back *= 1 - h * h
         grads |= {"w1": x.T @ back, "b1": back.sum(0)}
         dx = (back @ p["w1"].T).reshape(-1, DIM)
-        ids, inv = np.unique(ctx.ravel(), return_inverse=True)
-        order = np.argsort(inv, kind="stable")
-        summed = np.add.reduceat(dx[order], np.searchsorted(inv[order], np.arange(len(ids))))
-        seen["emb"][ids] += summed * summed
-        p["emb"][ids] -= rate * summed / np.sqrt(seen["emb"][ids])
+        ids = ctx.ravel().astype(np.uint16)
+        order = np.argsort(ids, kind="stable")
+        times = np.bincount(ids, minlength=SIZE + 1)
+        met = np.flatnonzero(times)
+        summed = np.add.reduceat(dx[order], (np.cumsum(times) - times)[met])
+        seen["emb"][met] += summed * summed
+        p["emb"][met] -= rate * summed / np.sqrt(seen["emb"][met])
         for name, grad in grads.items():
             seen[name] += grad * grad
             p[name] -= rate * grad / np.sqrt(seen[name])
