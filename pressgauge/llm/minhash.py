@@ -7,7 +7,8 @@ component of such pairs; its id is the smallest doc_id in it.
 
 Equal word sequences are one node from the start, so large groups of copies cost nothing. A bucket links its members to one
 leader, not to each other. Members that stay apart from the leader's component meet eight leaders of it in the next
-round, and again in finer buckets of two bands, so the work stays in proportion to the entries.
+round, and again in finer buckets of two bands. These rounds only merge most of a class cheaply: afterwards every pair of
+a bucket that is still in two components is verified, in blocks inside tasks where the bucket is crowded.
 Texts without a word (null, empty, marks only) are classes of their own. Repeated rows are copies of each other; null ids
 stay, with the class of their text. Other columns are ignored.
 """
@@ -32,6 +33,8 @@ BANDS, ROWS = 12, 3
 TABLE_BITS, GROUP = 20, 256
 #: (leaders of a bucket, bands beside its own that a bucket is cut by) of each round of links.
 ROUNDS = ((1, 0), (8, 0), (8, 1))
+#: Members up to which a bucket's remaining pairs are rows; a larger bucket is compared in blocks of GROUP by GROUP.
+FEW = 32
 _CHUNKS = 16
 
 
@@ -199,6 +202,117 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataF
     return rows.mapInArrow(run, "a long, b long")
 
 
+class _Block:
+    """Stored members of a block. Postings of their shingles give a text's similarity to all of them at once."""
+
+    def __init__(self):
+        self.node, self.label, self.bands, self.texts, self.ready = [], [], [], [], False
+
+    def close(self, idf: np.ndarray, root) -> None:
+        self.label, self.bands, self.ready = np.array([root(c) for c in self.label]), np.array(self.bands), True
+        self.idf, self.s = idf, None
+
+    def vectors(self) -> None:
+        self.own = [vector(t, self.idf) for t in self.texts]
+        s, w = (np.concatenate([v[i] for v in self.own]) for i in (0, 1))
+        d = np.repeat(np.arange(len(self.own)), [len(v[0]) for v in self.own])
+        order = np.argsort(s, kind="stable")
+        self.s, self.w, self.d, self.mass = s[order], w[order], d[order], np.bincount(d, w, len(self.own))
+
+    def similar(self, s: np.ndarray, w: np.ndarray) -> np.ndarray:
+        lo = np.searchsorted(self.s, s, "left")
+        n = np.searchsorted(self.s, s, "right") - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        low = np.bincount(self.d[at], np.minimum(self.w[at], np.repeat(w, n)), len(self.mass))
+        return low / (self.mass + w.sum(dtype=np.float64) - low)
+
+
+def remaining(e: DataFrame, tried: DataFrame | None, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """Links (a, b) among all pairs of nodes that share a bucket and are in two components.
+
+    A crowded bucket is dealt in groups, its largest component apart from the rest, and two groups meet in one block; two
+    groups of the largest component never do. A pair is compared in the first band it shares, unless the task has already
+    joined its components.
+    """
+    keys = ["band", "value"]
+    parts = e.groupBy(*keys, "component").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts"))
+    parts = parts.filter("parts > 1").select(*keys, "n", F.col("m.component").alias("main"), *[F.ceil(c / GROUP).cast("int").alias(k) for k, c in (("rest_groups", F.col("n") - F.col("m.n")), ("main_groups", F.col("m.n")))])
+    e = saved(e.join(parts, keys), "apart")
+
+    few = e.filter(F.col("n") <= FEW).select(*keys, "node", "component")
+    one, two = few.select(*keys, F.col("node").alias("a"), F.col("component").alias("ca")), few.select(*keys, F.col("node").alias("b"), F.col("component").alias("cb"))
+    pairs = one.join(two, keys).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
+    if tried is not None:
+        pairs = pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    links = verified(saved(pairs, "pairs"), texts, idf, threshold)
+
+    other = F.col("component") != F.col("main")
+    group = F.pmod(F.xxhash64("node"), F.when(other, F.col("rest_groups")).otherwise(F.col("main_groups"))).cast("int")
+    place = F.when(other, group).otherwise(F.col("rest_groups") + group)
+    meets = F.sequence(F.lit(0), F.col("rest_groups") + F.when(other, F.col("main_groups")).otherwise(F.lit(0)) - 1)
+    rows = e.filter(F.col("n") > FEW).select(*keys, "node", "component", "bands", place.alias("place"), F.explode(meets).alias("with"))
+    rows = rows.select(*keys, F.least("place", "with").alias("x"), F.greatest("place", "with").alias("y"), (F.col("with") < F.col("place")).cast("int").alias("role"), "node", "component", "bands")
+    n = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = [*keys, "x", "y"]
+    rows = rows.join(texts, "node").select(*block, "role", "node", "component", "bands", "text").repartition(n, *block).sortWithinPartitions(*block, "role", "node")
+
+    def run(batches):
+        table, up, key, held = idf.value, {}, None, None
+
+        def root(c):
+            while c in up:
+                c = up[c]
+            return c
+
+        def meet(node, component, bands, v, upto=None):
+            """Links of one text with the stored ones, one for each component that it joins."""
+            own = root(component)
+            open_ = held.label != own
+            if upto is not None:
+                open_[upto:] = False
+            if open_.any():
+                open_ &= (held.bands == bands).argmax(1) == key[0]
+            if not open_.any():
+                return
+            if held.s is None:
+                held.vectors()
+            hit = np.flatnonzero(open_ & (held.similar(*v()) >= threshold))
+            for label, i in dict(zip(held.label[hit].tolist(), hit.tolist(), strict=True)).items():
+                out[0].append(held.node[i])
+                out[1].append(node)
+                up[label] = own
+                held.label[held.label == label] = own
+
+        def end():
+            """The pairs inside the group of a block that meets itself."""
+            if held is not None and key[2] == key[3]:
+                held.close(table, root)
+                for i in range(1, len(held.node)):
+                    meet(held.node[i], int(held.label[i]), held.bands[i], lambda i=i: held.own[i], i)
+
+        out = ([], [])
+        for batch in batches:
+            for *at, role, node, component, bands, text in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+                if at != key:
+                    end()
+                    key, held = at, _Block()
+                if role == 0:
+                    held.node.append(node)
+                    held.label.append(component)
+                    held.bands.append(bands)
+                    held.texts.append(text)
+                elif held.node:
+                    if not held.ready:
+                        held.close(table, root)
+                    meet(node, component, np.array(bands), lambda text=text: vector(text, table))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+            out = ([], [])
+        end()
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+
+    return links.unionByName(rows.mapInArrow(run, "a long, b long"))
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (smallest doc_id of the class), class_size (rows in it)."""
     df, n = frequencies(docs, text_col)
@@ -212,8 +326,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     texts = saved(node_texts(docs, text_col).join(entries.select("node").distinct(), "node").groupBy("node").agg(F.first("text").alias("text")), "texts")
     links = tried = None
     found = entries.select("node").distinct().withColumn("component", F.col("node"))
+
+    def labelled():
+        return entries.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")) if links is not None else entries.withColumn("component", F.col("node"))
+
+    def joined(links):
+        return components(links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))), links)
+
     for leaders, finer in ROUNDS:
-        e = entries.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")) if links is not None else entries.withColumn("component", F.col("node"))
+        e = labelled()
         keys = ["band", "value"]
         if finer:
             e = e.withColumn("next", F.element_at("bands", F.pmod(F.col("band") + finer, F.lit(BANDS)) + 1))
@@ -234,7 +355,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
         new = saved(verified(pairs, texts, idf, threshold), "links")
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
-            found = components(links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))), links)
+            found = joined(links)
+    rest = saved(remaining(labelled(), tried, texts, idf, threshold), "links")
+    if not rest.isEmpty():
+        links = rest if links is None else links.unionByName(rest)
+        found = joined(links)
     label = sk.select("doc_id", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     with_words = label.filter("component is not null")
     best = with_words.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))

@@ -59,6 +59,29 @@ def test_classes_equal_all_pairs(spark):
     assert M.deduplicate(twice).count() == len(sizes) + 1
 
 
+def test_stars_and_families_equal_all_pairs(spark):
+    rng = random.Random(3)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+
+    def near(base, cuts):
+        t = base[:]
+        for j in rng.sample(range(3, len(t) - 3, 8), cuts):
+            t[j] = rng.choice(vocab)
+        return " ".join(t)
+
+    hub, shared = ([rng.choice(vocab) for _ in range(n)] for n in (200, 170))
+    docs = [near(hub, 3) for _ in range(1000)]
+    docs.insert(500, " ".join(hub))
+    for _ in range(150):  # alike by the passage, under the threshold but for a near copy
+        t = shared + [rng.choice(vocab) for _ in range(30)]
+        docs += [" ".join(t), near(t, 3)]
+    docs = list(enumerate(docs))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute(docs, M.idf_table(*M.frequencies(df)))
+    assert len(set(want.values())) == 151 and {want[i] for i in range(1001)} == {0}
+    assert {r.doc_id: r.class_id for r in M.classes(df).collect()} == want
+
+
 def test_samples_agree_as_often_as_the_similarity():
     rng = np.random.default_rng(0)
     s = np.sort(rng.integers(0, 2**63, 300).astype(np.uint64))
