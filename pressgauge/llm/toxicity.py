@@ -9,6 +9,7 @@ one number: scoring looks words up and averages. Inputs are texts and labels onl
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,16 +25,16 @@ BUCKETS, DIM, NGRAMS = 1 << 17, 16, (3, 4, 5)
 THRESHOLD = 0.7
 #: z value and document count a bucket needs to get a vector, and the gain on the average (toxic words are a few in 100).
 MIN_Z, MIN_DF, GAIN = 4.0, 5, 30.0
-#: Words remembered per worker.
-CACHE = 300_000
+#: Words remembered per worker, characters of such a word at most, and subwords that fitting documents hold at once at most.
+CACHE, CACHE_CHARS, HELD = 300_000, 64, 20_000_000
 _WORD = re.compile(r"\w+")
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of a word: itself and its n-grams with end marks."""
+def subwords(word: str) -> np.ndarray:
+    """Buckets of a word: itself and all its n-grams with end marks, however long it is."""
     w = f"<{word}>"
-    grams = [w] + [w[i : i + n] for n in NGRAMS for i in range(len(w) - n + 1)]
-    return [zlib.crc32(g.encode()) % BUCKETS for g in grams[:200]]
+    grams = itertools.chain([w], (w[i : i + n] for n in NGRAMS for i in range(len(w) - n + 1)))
+    return np.fromiter((zlib.crc32(g.encode()) % BUCKETS for g in grams), np.int32)
 
 
 def held_out(doc_id):
@@ -54,7 +55,7 @@ def _selected(docs, y: np.ndarray) -> np.ndarray:
     """Buckets that documents with label 1 hold significantly more often."""
     n1, n0 = max((y == 1).sum(), 1), max((y == 0).sum(), 1)
     count = np.zeros((2, BUCKETS))
-    for (u, _), k in zip(docs, y, strict=True):
+    for u, k in zip(docs, y, strict=True):
         count[k, u] += 1
     p = count.sum(0) / (n1 + n0)
     z = (count[1] / n1 - count[0] / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
@@ -69,21 +70,36 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 20, rate: float = 0.
     """
     rng = np.random.default_rng(seed)
     known: dict[str, np.ndarray] = {}
-    docs, y = [], np.asarray(labels, int)
-    for t in texts:
+    y = np.asarray(labels, int)
+
+    def parts(w):
+        if len(w) > CACHE_CHARS:
+            return subwords(w)
+        if w not in known:
+            known[w] = subwords(w)
+        return known[w]
+
+    def bag(t):
         words = _WORD.findall(t.lower())
-        for w in words:
-            if w not in known:
-                known[w] = np.array(subwords(w))
-        if words:
-            idx = np.concatenate([known[w] for w in words])
-            val = np.concatenate([np.full(len(known[w]), 1 / len(known[w])) for w in words]) / len(words)
-            u, inv = np.unique(idx, return_inverse=True)
-            docs.append((u, np.bincount(inv, val).astype(np.float32)))
-        else:
-            docs.append((np.zeros(0, int), np.zeros(0, np.float32)))
-    keep = _selected(docs, y)
-    docs = [(u[keep[u]], v[keep[u]] * GAIN) for u, v in docs]
+        if not words:
+            return np.zeros(0, np.int32), np.zeros(0, np.float32)
+        found = [parts(w) for w in words]
+        u, inv = np.unique(np.concatenate(found), return_inverse=True)
+        val = np.concatenate([np.full(len(p), 1 / len(p)) for p in found]) / len(words)
+        return u, np.bincount(inv, val).astype(np.float32)
+
+    held, space = {}, HELD
+
+    def buckets():
+        nonlocal space
+        for i, t in enumerate(texts):
+            u, v = bag(t)
+            if len(u) <= space:  # the others are made again below
+                held[i], space = (u, v), space - len(u)
+            yield u
+
+    keep = _selected(buckets(), y)
+    docs = [(u[keep[u]], v[keep[u]] * GAIN) for u, v in (held.pop(i, None) or bag(t) for i, t in enumerate(texts))]
     table = (rng.random((BUCKETS, DIM), np.float32) - 0.5) / DIM
     table[~keep] = 0
     weight, bias = rng.random((DIM, 2), np.float32) - 0.5, np.zeros(2, np.float32)
@@ -154,9 +170,10 @@ class _Words(dict):
 
     def __missing__(self, w):
         v = float(self.scores[subwords(w)].mean())
-        if len(self) >= CACHE:
-            self.clear()
-        self[w] = v
+        if len(w) <= CACHE_CHARS:
+            if len(self) >= CACHE:
+                self.clear()
+            self[w] = v
         return v
 
 

@@ -29,3 +29,19 @@ def test_misspellings_and_odd_rows(spark):
     labels = spark.createDataFrame([(1, None, None)], "doc_id long, quality int, toxic int")
     assert T.score(df, T.train(df, labels)).filter("score >= 0.7").count() == 0
     assert T.score(df.limit(0), m).count() == 0
+
+
+def test_long_runs_count_to_their_end(spark, monkeypatch):
+    run = "".join(chr(0x4E00 + i * 7919 % 20000) for i in range(1000))
+    w = f"<{run}>"
+    grams = [w] + [w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)]
+    assert list(T.subwords(run)) == [T.zlib.crc32(g.encode()) % T.BUCKETS for g in grams]
+    bad, good = [run + "stupidmoron" * 20 + str(i) for i in range(60)], [run + "quietmorning" * 20 + str(i) for i in range(60)]
+    y = np.array([1] * 60 + [0] * 60)
+    m = T.fit(bad + good, y)
+    df = spark.createDataFrame([(1, run[::-1] + "stupidmoron" * 20), (2, run[::-1] + "quietmorning" * 20)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in T.score(df, m).collect()}
+    assert got[1] > 0.5 > got[2]
+    monkeypatch.setattr(T, "HELD", 0)
+    again = T.fit(bad + good, y)
+    assert all(np.array_equal(a, b) for a, b in zip(m.reduced(), again.reduced(), strict=True))
