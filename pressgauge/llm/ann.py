@@ -4,7 +4,8 @@ Smallest Euclidean distance is a maximum inner product: a vector x becomes (x, -
 Codebooks of 16 words per subspace are trained on a bounded sample with a score-aware loss, where the residual parallel to
 the vector weighs ``eta`` times the orthogonal one; every vector is coded with that loss by coordinate descent. Two codes
 share a byte. Scans add 16-entry table look-ups, keep the best candidates of a block, and rescore them on the original
-vectors in double precision. Equal vectors have equal codes, so ties are broken by id from the scan on.
+vectors in double precision. A code's error in a subspace is at most the length of its residual times that of the query
+there, so every other vector whose score may hide a better one by this bound is rescored too. Equal vectors have equal codes, so ties are broken by id from the scan on.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part.
 """
@@ -53,12 +54,22 @@ class Codebooks:
                 codes[:, j] = new
         return codes.astype(np.uint8)
 
-    def tables(self, q: np.ndarray) -> np.ndarray:
-        """Look-up tables (queries, subspaces, 16) of inner products with the lifted query."""
+    def asked(self, q: np.ndarray) -> np.ndarray:
+        """Lifted queries (queries, subspaces, SUB)."""
         q = np.concatenate([q - self.mean, np.ones((len(q), 1))], 1) * self.scale
         s = self.words.shape[0]
-        q = np.pad(q, ((0, 0), (0, s * SUB - q.shape[1]))).reshape(len(q), s, SUB)
-        return np.einsum("qsd,skd->qsk", q, self.words).astype(np.float32)
+        return np.pad(q, ((0, 0), (0, s * SUB - q.shape[1]))).reshape(len(q), s, SUB)
+
+    def tables(self, q: np.ndarray) -> np.ndarray:
+        """Look-up tables (queries, subspaces, 16) of inner products with the lifted query."""
+        return np.einsum("qsd,skd->qsk", self.asked(q), self.words).astype(np.float32)
+
+    def lost(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Lengths of the residuals (n, subspaces), with room for single-precision rounding."""
+        y = self.lift(x).reshape(len(x), -1, SUB)
+        word = self.words[np.arange(y.shape[1]), codes]
+        length = lambda v: np.sqrt((v.astype(np.float64) ** 2).sum(2))
+        return (length(y - word) + 1e-5 * (length(y) + length(word))).astype(np.float32)
 
 
 def fit(x: np.ndarray, eta: float = ETA, rounds: int = 8, seed: int = 1) -> Codebooks:
@@ -141,6 +152,7 @@ def _scan(books, data: pd.DataFrame, asked: pd.DataFrame, k: int, rerank: int, s
     data = data.sort_values("vec_id", kind="stable")
     ids, x = data["vec_id"].to_numpy(np.int64), np.stack(data["embedding"].to_numpy())
     codes = np.concatenate([books.code(x[i : i + 4096]) for i in range(0, len(x), 4096)])
+    lost = np.concatenate([books.lost(x[i : i + 4096], codes[i : i + 4096]) for i in range(0, len(x), 4096)]).T
     if codes.shape[1] % 2:
         codes = np.pad(codes, ((0, 0), (0, 1)))
     packed = (codes[:, ::2] | codes[:, 1::2] << 4).T.copy()  # two four-bit codes a byte
@@ -148,6 +160,8 @@ def _scan(books, data: pd.DataFrame, asked: pd.DataFrame, k: int, rerank: int, s
     out = []
     for at in range(0, len(q), 64):
         tables = books.tables(q[at : at + 64])
+        slack = np.linalg.norm(books.asked(q[at : at + 64]), axis=2).astype(np.float32) @ lost
+        far = ((q[at : at + 64] - books.mean) ** 2).sum(1)
         if tables.shape[1] % 2:
             tables = np.pad(tables, ((0, 0), (0, 1), (0, 0)))
         pairs = (tables[:, 1::2, :, None] + tables[:, ::2, None, :]).reshape(len(tables), -1, 256)
@@ -164,6 +178,13 @@ def _scan(books, data: pd.DataFrame, asked: pd.DataFrame, k: int, rerank: int, s
             pick = np.concatenate([above, np.flatnonzero(score == cut)[: top - len(above)]])
             pick = pick[np.isfinite(score[pick])]
             dist = np.sqrt(((x[pick] - q[at + r]) ** 2).sum(1))
+            # An inner product is (far - distance^2) / 2; whatever may reach that of the k-th best is rescored as well.
+            least = (far[r] - np.partition(dist, k - 1)[k - 1] ** 2) / 2 if len(dist) >= k else -np.inf
+            may = score + slack[r] * (1 + 1e-5) >= least - 1e-9 * far[r]
+            may &= np.isfinite(score)
+            may[pick] = False
+            more = np.flatnonzero(may)
+            pick, dist = np.concatenate([pick, more]), np.concatenate([dist, np.sqrt(((x[more] - q[at + r]) ** 2).sum(1))])
             order = np.lexsort((ids[pick], dist))[:k]
             out.append(pd.DataFrame({"query_id": qid[at + r], "vec_id": ids[pick][order], "score": dist[order]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})

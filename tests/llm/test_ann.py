@@ -40,3 +40,14 @@ def test_ties_odd_vectors_and_small_tables(spark):
     two = spark.createDataFrame([(0, [1.0]), (7, [3.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in ann.search(two, two.filter("vec_id = 0")).collect()] == [(0, 1, 7, 2.0)]
     assert ann.search(two.limit(0), two).count() == 0
+
+
+def test_recall_in_tight_groups_of_a_full_block():
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.normal(0, 1, (16, 64)), ann.BLOCK // 16, 0) + rng.normal(0, 0.02, (ann.BLOCK, 64))
+    rows = ann.pd.DataFrame({"vec_id": np.arange(ann.BLOCK), "embedding": list(x)})
+    asked = rows[::300]
+    books = ann.fit(x[rng.choice(len(x), ann.FIT_ROWS, replace=False)])
+    got = ann._scan(books, rows, asked, ann.K, ann.RERANK, False).groupby("query_id")["vec_id"].apply(list)
+    want = exact(list(enumerate(x)), [(q, x[q]) for q in asked["vec_id"]])
+    assert all(got[q] == [i for i, _ in want[q]] for q in want)
