@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from .common import saved
 
 #: Words with an entry, hashed entries for all others, words a class, embedding and hidden sizes, words on each side.
-VOCAB, HASHED, PER_CLASS, DIM, HIDDEN, SIDE = 4000, 96, 128, 16, 32, 2
+VOCAB, HASHED, PER_CLASS, DIM, HIDDEN, SIDE = 4000, 96, 64, 16, 32, 2
 #: Documents of the starting fit and, of each, runs of words and words a run (its bound), tokens of a training step, rate.
-WARM_DOCS, RUNS, RUN, STEP, RATE = 300, 20, 100, 16_384, 0.04
+WARM_DOCS, RUNS, RUN, STEP, RATE = 300, 20, 100, 4096, 0.02
 SIZE = VOCAB + HASHED  # a multiple of PER_CLASS
 CLASSES = SIZE // PER_CLASS
 PAD = SIZE
@@ -151,7 +151,7 @@ class Network:
             if len(d):
                 held.append(d)
                 n += len(d)
-            if n >= 4 * STEP:
+            if n >= 8 * STEP:
                 total += self._pass(held, seen, epochs_of_buffer)
                 held, n = [], 0
         return total + (self._pass(held, seen, epochs_of_buffer) if held else 0)

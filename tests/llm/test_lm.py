@@ -35,3 +35,7 @@ def test_order_matters_and_counts_cover_everything(spark):
     assert good > bad
     e = df.limit(0)
     assert lm.score(e, *lm.train(e)).count() == 0
+
+
+def test_training_parameters_are_those_chosen_before_the_time_limit():
+    assert (lm.STEP, lm.RATE, lm.PER_CLASS) == (4096, 0.02, 64)
