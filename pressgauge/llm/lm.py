@@ -5,7 +5,8 @@ softmax gives the token's class and the word within the class. Summed log-probab
 
 Word counts cover the whole corpus. The network starts from a short fit on a bounded sample; then every task goes once
 over all its documents from there, and the tasks' parameters are averaged by tokens, so training covers every token and
-what is gathered grows with the input. Words outside the table share hashed entries.
+what is gathered grows with the input. Words outside the table share hashed entries; ``score_all`` splits the probability of
+such an entry among its words by their counts in all texts.
 """
 
 from __future__ import annotations
@@ -36,11 +37,16 @@ class Vocabulary:
         self.ids = {w: i for i, w in enumerate(words)}
         self.base = len(words)
 
-    def __call__(self, text: str | None) -> np.ndarray:
+    def __call__(self, text: str | None, rare: list[str] | None = None) -> np.ndarray:
+        """Entries of the words of a text; words that share a hashed entry are added to ``rare``."""
         get, out = self.ids.get, []
         for w in _WORD.findall((text or "").lower()):
             i = get(w)
-            out.append(VOCAB + zlib.crc32(w.encode()) % HASHED if i is None else i)
+            if i is None:
+                i = VOCAB + zlib.crc32(w.encode()) % HASHED
+                if rare is not None:
+                    rare.append(w)
+            out.append(i)
         return np.array(out, np.int32)
 
 
@@ -244,36 +250,58 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tu
     return vocab, warm.like(flat)
 
 
-def score(docs: DataFrame, vocab: Vocabulary, net: Network, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_tokens, log_likelihood (sum over all tokens) and mean_log_likelihood (null without tokens). No shuffle."""
+def score(docs: DataFrame, vocab: Vocabulary, net: Network, text_col: str = "text", id_col: str = "doc_id", with_rare: bool = False) -> DataFrame:
+    """doc_id, n_tokens, log_likelihood (sum over all tokens) and mean_log_likelihood (null without tokens). No shuffle.
+
+    A word of a hashed entry counts as its entry. ``with_rare`` adds the list of those words.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((vocab, net))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_likelihood", pa.float64()), ("mean_log_likelihood", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_likelihood", pa.float64()), ("mean_log_likelihood", pa.float64())] + [("rare", pa.list_(pa.string()))] * with_rare)
 
-    def batch(ids, docs_):
+    def batch(ids, docs_, rare):
         tokens, ctx = contexts(docs_)
         lp = np.concatenate([[0.0], np.cumsum(net_[0].log_probs(tokens, ctx))])
         n = np.array([len(d) for d in docs_])
         end = np.cumsum(n)
         total = lp[end] - lp[end - n]
         mean = [t / k if k else None for t, k in zip(total.tolist(), n.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n), pa.array(total), pa.array(mean, pa.float64())], schema=schema)
+        more = [pa.array(rare, pa.list_(pa.string()))] if with_rare else []
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n), pa.array(total), pa.array(mean, pa.float64()), *more], schema=schema)
 
     net_: list[Network] = []
 
     def run(batches):
         v, n_ = shared.value
         net_[:] = [n_]
-        ids, held, n = [], [], 0
+        ids, held, rare, n = [], [], [], 0
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                d = v(t.as_py())
+                rare.append([])
+                d = v(t.as_py(), rare[-1] if with_rare else None)
                 ids.append(i)
                 held.append(d)
                 n += len(d)
                 if n >= 60_000 or len(ids) >= 5000:
-                    yield batch(ids, held)
-                    ids, held, n = [], [], 0
+                    yield batch(ids, held, rare)
+                    ids, held, rare, n = [], [], [], 0
         if ids:
-            yield batch(ids, held)
-
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+            yield batch(ids, held, rare)
+
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double" + ", rare array<string>" * with_rare)
+
+
+def score_all(docs: DataFrame, vocab: Vocabulary, net: Network, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """As ``score``, with the probability of a hashed entry split among its words by their counts in all of ``docs``.
+
+    log(count of the word / count of its entry) is added for every token of a hashed entry, so words are told apart
+    whatever their number. Counts are made and joined on executors; rows meet by a number of their own.
+    """
+    base = saved(score(docs, vocab, net, text_col, id_col, True).withColumn("row", F.monotonically_increasing_id()), "scored")
+    rare = base.select("row", F.explode("rare").alias("word"))
+    words = saved(rare.groupBy("word").agg(F.count("*").alias("n")).withColumn("h", F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(HASHED))), "rare")
+    entries = words.groupBy("h").agg(F.sum("n").alias("in_entry"))  # HASHED rows
+    share = words.join(F.broadcast(entries), "h").select("word", F.log(F.col("n") / F.col("in_entry")).alias("share"))
+    within = rare.join(share, "word").groupBy("row").agg(F.sum("share").alias("within"))
+    total = F.col("log_likelihood") + F.coalesce("within", F.lit(0.0))
+    out = base.drop("rare").join(within, "row", "left")
+    return out.select("doc_id", "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_likelihood"))

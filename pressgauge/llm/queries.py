@@ -73,7 +73,7 @@ def pipeline(spark, d):
 
 def op10_lm_scoring(spark, d):
     docs = table(spark, d, "documents")
-    return lm.score(docs, *lm.train(docs))
+    return lm.score_all(docs, *lm.train(docs))
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op3_pii, op4_ann, op5_warc, op6_packing, op7_suffix_dedup, op8_toxicity, op9_minhash, op10_lm_scoring, pipeline)}

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 
 from pressgauge.llm import lm
@@ -39,3 +41,20 @@ def test_order_matters_and_counts_cover_everything(spark):
 
 def test_training_parameters_are_those_chosen_before_the_time_limit():
     assert (lm.STEP, lm.RATE, lm.PER_CLASS) == (4096, 0.02, 64)
+
+
+def test_words_of_a_hashed_entry_are_told_apart(spark):
+    common = [f"c{i}" for i in range(lm.VOCAB)] * 12
+    rare = [f"r{i}" for i in range(300)]
+    texts = [" ".join(common), " ".join(rare), " ".join(rare[:150] * 9), "r0", "r0", "r299", None, "c1 r5 c2"]
+    df = spark.createDataFrame([(i if i != 4 else 3, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    vocab, net = lm.train(df)
+    words = [w for t in texts for w in (t or "").split() if w[0] == "r"]
+    n, entry = Counter(words), Counter(lm.zlib.crc32(w.encode()) % lm.HASHED for w in words)
+    key = lambda r: (r.doc_id, r.n_tokens)
+    plain, whole = (sorted(x.collect(), key=key) for x in (lm.score(df, vocab, net), lm.score_all(df, vocab, net)))
+    assert [key(r) for r in plain] == [key(r) for r in whole] and len(whole) == len(texts)
+    for a, b in zip(plain, whole, strict=True):
+        want = a.log_likelihood + sum(np.log(n[w] / entry[lm.zlib.crc32(w.encode()) % lm.HASHED]) for w in (texts[a.doc_id] or "").split() if w[0] == "r")
+        assert abs(b.log_likelihood - want) < 1e-6 * max(1, abs(want)) and (b.mean_log_likelihood is None) == (a.n_tokens == 0)
+    assert lm.score_all(df.limit(0), vocab, net).count() == 0
