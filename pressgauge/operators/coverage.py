@@ -2,31 +2,42 @@
 
 from __future__ import annotations
 
-import uuid
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..functions.text import bands, hamming, sentences, tokens
+from ..sources.intermediate import hot_join, hot_keys, saved
 
 #: Totals under this many articles a day are no denominator.
 MIN_DENOMINATOR = 20
 
 
+@F.pandas_udf(LongType())
+def _simhash(hashes: pd.Series) -> pd.Series:
+    """Majority bits of the hashes of each row, as a signed 64-bit number; rows meet in one pass of numpy."""
+    size = hashes.map(len).to_numpy()
+    flat = np.concatenate(hashes.to_list()).astype(np.int64) if size.sum() else np.zeros(0, np.int64)
+    start = np.cumsum(size) - size
+    out = np.zeros(len(size), np.uint64)
+    for bit in range(64):
+        ones = np.concatenate([[0], np.cumsum((flat >> bit) & 1)])
+        out |= (2 * (ones[start + size] - ones[start]) > size).astype(np.uint64) << np.uint64(bit)
+    return pd.Series(out.view(np.int64))
+
+
 def fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, signed 64-bit simhash (each token occurrence weighs one) and four 16-bit bands; no row without a token.
 
-    64 sums over exploded token hashes: a code-generated aggregate that combines on the map side, so one row a document
-    is shuffled.
+    A token's hash is the first eight bytes of its MD5, so any engine can follow it. A document is one row and stays one:
+    hashes are made by the JVM, votes are counted in the row by one Arrow UDF, and nothing is shuffled.
     """
-    h = docs.select(key, F.explode(tokens(F.col(text))).alias("_t")).select(key, F.xxhash64("_t").alias("_h"))
-    votes = h.groupBy(key).agg(*[F.sum(F.getbit("_h", F.lit(i)).cast("int") * 2 - 1).alias(f"_{i}") for i in range(64)])
-    bits = [F.when(F.col(f"_{i}") > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")) for i in range(64)]
-    value = bits[0]
-    for b in bits[1:]:
-        value = value.bitwiseOR(b)
-    return votes.select(key, value.alias("simhash")).withColumn("bands", bands(F.col("simhash")))
+    hashed = F.transform(tokens(F.col(text)), lambda t: F.conv(F.substring(F.md5(t), 1, 16), 16, -10).cast("long"))
+    h = docs.select(key, hashed.alias("_h")).filter(F.size("_h") > 0)
+    return h.select(key, _simhash("_h").alias("simhash")).withColumn("bands", bands(F.col("simhash")))
 
 
 def near_links(prints: DataFrame, key: str, max_distance: int = 3) -> DataFrame:
@@ -51,35 +62,24 @@ def components(nodes: DataFrame, links: DataFrame, node: str = "node") -> DataFr
     """node, component (smallest node reached), by min-label propagation with pointer jumping.
 
     Each round is written to the shared checkpoint folder, so lineage stays short and a lost executor costs one round.
+    Labels of hubs and of large components, a thousand at most, travel by broadcast.
     """
-    spark = nodes.sparkSession
-    root = shared_dir(spark)
     both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    both = _saved(both.distinct(), root)
-    labels = _saved(both.select(F.col("x").alias(node)).distinct().withColumn("component", F.col(node)), root)
-    while True:
-        reached = both.join(labels.withColumnRenamed(node, "y"), "y").groupBy(F.col("x").alias(node)).agg(F.min("component").alias("_best"))
-        step = labels.join(reached, node).select(node, F.least("component", "_best").alias("component"), F.col("component").alias("_was"))
+    both = saved(both.distinct(), "links")
+    n, hubs = both.count(), None
+    labels = saved(both.select(F.col("x").alias(node)).distinct().withColumn("component", F.col(node)), "labels")
+    while n:
+        hubs = hubs or hot_keys(both, "y", n)
+        reached = hot_join(both, labels.withColumnRenamed(node, "y"), "y", hubs).groupBy(F.col("x").alias(node)).agg(F.min("component").alias("_best"))
+        step = saved(labels.join(reached, node).select(node, F.least("component", "_best").alias("component"), F.col("component").alias("_was")), "labels")
         jump = step.select(F.col(node).alias("component"), F.col("component").alias("_up"))
-        new = _saved(step.join(jump, "component").select(node, F.least("component", "_up").alias("component"), "_was"), root)
-        moved = new.filter(F.col("component") != F.col("_was")).limit(1).count()
+        new = saved(hot_join(step, jump, "component", hot_keys(step, "component", n)).select(node, F.least("component", "_up").alias("component"), "_was"), "labels")
         labels = new.drop("_was")
-        if not moved:
+        if new.filter(F.col("component") != F.col("_was")).isEmpty():
             break
     return nodes.select(node).distinct().join(labels, node, "left").withColumn("component", F.coalesce("component", node))
 
 
-def shared_dir(spark) -> str:
-    """The folder all executors share, from the session; a folder under /tmp only where the session names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/pressgauge-checkpoints").rstrip("/")
-
-
-def _saved(df: DataFrame, root: str) -> DataFrame:
-    path = f"{root}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def propagation(members: DataFrame, noise_seconds: int = 1200) -> DataFrame:
     """members(cluster_id, id, outlet, at) with cluster_rank, is_origin and origin_confident.
 
