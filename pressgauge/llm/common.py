@@ -1,19 +1,21 @@
-"""Shared plumbing: written intermediates in the folder the cluster shares, and tables by name."""
+"""Shared plumbing: tables by name, and vectors of all tasks added up in a tree."""
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..sources.intermediate import hot_join, hot_keys, new_path, released, saved, shared_dir
+from ..sources.tables import table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["hot_join", "hot_keys", "new_path", "parts_of", "released", "saved", "shared_dir", "small_batches", "summed", "table", "vector_rows"]
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder under /tmp only where the session names none (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/pressgauge-checkpoints").rstrip("/")
+#: Tasks whose chunks meet in one place at each level of ``summed``, and numbers of an array that travel in one row.
+FAN_IN, CHUNK = 32, 65_536
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
@@ -23,20 +25,53 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(key, rows)
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+def parts_of(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_VECTOR = "chunk int, salt int, weight double, v binary"
+_ARROW = pa.schema([("chunk", pa.int32()), ("salt", pa.int32()), ("weight", pa.float64()), ("v", pa.binary())])
+
+
+def vector_rows(values: np.ndarray, weight: float = 1.0) -> pa.RecordBatch:
+    """A task's vector as rows for ``summed``, in single precision where that is exact; ``weight`` is summed beside it."""
+    from pyspark import TaskContext
+
+    def packed(part):
+        small = part.astype(np.float32)
+        return (small if np.array_equal(small, part) else part.astype(np.float64)).tobytes()
+
+    parts = [packed(values[i : i + CHUNK]) for i in range(0, len(values), CHUNK)]
+    n, at = len(parts), TaskContext.get().partitionId()
+    return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([at] * n, pa.int32()), pa.array([weight] * n, pa.float64()), pa.array(parts, pa.binary())], schema=_ARROW)
+
 
+def summed(docs: DataFrame, size: int, make) -> tuple[np.ndarray | None, float]:
+    """Sum over all tasks of the vectors of ``size`` that ``make(batches)`` yields as ``vector_rows``, and of their weights.
 
-def saved(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here and survives lost executors."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    Chunks are added in a tree of three levels: FAN_IN tasks' chunks meet in one place, FAN_IN such sums in the next, so no
+    task reads a chunk from every task of a large job.
+    """
+    widths = [min(CHUNK, size - i) for i in range(0, size, CHUNK)]
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, list] = {}
+        for b in batches:
+            for c, s, w, v in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                x = np.frombuffer(v, np.float32 if len(v) == 4 * widths[c] else np.float64).astype(np.float64)
+                if (c, s) in sums:
+                    sums[c, s][0] += w
+                    sums[c, s][1] += x
+                else:
+                    sums[c, s] = [w, x]
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in sums], pa.int32()), pa.array([s for _, s in sums], pa.int32()), pa.array([w for w, _ in sums.values()], pa.float64()), pa.array([x.tobytes() for _, x in sums.values()], pa.binary())], schema=_ARROW)
 
-def released(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files behind a ``saved`` frame that nothing will read again."""
-    jvm = spark._jvm
-    for f in df.inputFiles()[:1]:
-        parent = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        parent.getFileSystem(spark._jsc.hadoopConfiguration()).delete(parent, True)
+    parts, rows = parts_of(docs.sparkSession), docs.mapInArrow(make, _VECTOR)
+    for _ in range(2):
+        rows = rows.withColumn("salt", F.floor(F.col("salt") / FAN_IN).cast("int")).repartition(parts, "chunk", "salt").mapInArrow(add, _VECTOR)
+    got = rows.withColumn("salt", F.lit(0)).repartition(min(parts, len(widths)), "chunk").mapInArrow(add, _VECTOR).collect()
+    if not got:
+        return None, 0.0
+    got.sort(key=lambda r: r.chunk)
+    return np.concatenate([np.frombuffer(r.v, np.float64) if len(r.v) == 8 * w else np.frombuffer(r.v, np.float32) for r, w in zip(got, widths, strict=True)]), got[0].weight

@@ -7,8 +7,8 @@ component of such pairs; its id is the smallest doc_id in it.
 
 Equal word sequences are one node from the start, so large groups of copies cost nothing. A bucket links its members to one
 leader, not to each other. Members that stay apart from the leader's component meet eight leaders of it in the next
-round, and again in finer buckets of two bands. These rounds only merge most of a class cheaply: afterwards every pair of
-a bucket that is still in two components is verified, in blocks inside tasks where the bucket is crowded.
+round. These rounds only merge most of a class cheaply: afterwards every pair of a bucket that is still in two components
+is verified, in blocks inside tasks where the bucket is crowded.
 Texts without a word (null, empty, marks only) are classes of their own. Repeated rows are copies of each other; null ids
 stay, with the class of their text. Other columns are ignored.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.coverage import components
-from .common import saved
+from .common import hot_join, hot_keys, parts_of, released, saved, summed, vector_rows
 from .shingles import identity, mix, shingles, words
 
 THRESHOLD = 0.8
@@ -31,11 +31,10 @@ THRESHOLD = 0.8
 BANDS, ROWS = 12, 3
 #: Entries of the document-frequency table (its size bound) and members a task verifies against one leader.
 TABLE_BITS, GROUP = 20, 256
-#: (leaders of a bucket, bands beside its own that a bucket is cut by) of each round of links.
-ROUNDS = ((1, 0), (8, 0), (8, 1))
+#: Leaders of a bucket in each round of links.
+ROUNDS = (1, 8)
 #: Members up to which a bucket's remaining pairs are rows; a larger bucket is compared in blocks of GROUP by GROUP.
 FEW = 32
-_CHUNKS = 16
 
 
 def _batches(batches: Iterator[pa.RecordBatch], at: int, chars: int = 1_000_000):
@@ -52,7 +51,7 @@ def _batches(batches: Iterator[pa.RecordBatch], at: int, chars: int = 1_000_000)
 
 
 def frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
-    """(documents per table entry, documents). Every task sends one table in chunks; chunks are summed where they meet."""
+    """(documents per table entry, documents); every task's table is added up in a tree on the executors."""
     size = 1 << TABLE_BITS
 
     def count(batches):
@@ -63,27 +62,10 @@ def frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, in
             table += np.bincount((s >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=size)
             n += len(texts)
         if n:
-            small = table.astype(np.int32) if table.max() < 2**31 else table
-            yield pa.RecordBatch.from_pydict({"chunk": list(range(_CHUNKS)), "n": [n] * _CHUNKS, "v": [p.tobytes() for p in np.split(small, _CHUNKS)]}, schema=schema)
-
-    def total(batches):
-        sums: dict[int, list] = {}
-        for b in batches:
-            for c, n, v in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                part = np.frombuffer(v, np.int32 if len(v) == 4 * size // _CHUNKS else np.int64).astype(np.int64)
-                s = sums.setdefault(c, [0, np.zeros(size // _CHUNKS, np.int64)])
-                s[0] += n
-                s[1] += part
-        if sums:
-            yield pa.RecordBatch.from_pydict({"chunk": list(sums), "n": [s[0] for s in sums.values()], "v": [s[1].tobytes() for s in sums.values()]}, schema=schema)
-
-    schema = pa.schema([("chunk", pa.int32()), ("n", pa.int64()), ("v", pa.binary())])
-    kinds = "chunk int, n long, v binary"
-    rows = docs.select(text_col).mapInArrow(count, kinds).repartition(_CHUNKS, "chunk").mapInArrow(total, kinds).collect()
-    if not rows:
-        return np.zeros(size, np.int64), 0
-    rows.sort(key=lambda r: r.chunk)
-    return np.concatenate([np.frombuffer(r.v, np.int64) for r in rows]), rows[0].n
+            yield vector_rows(table, n)
+
+    df, n = summed(docs.select(text_col), size, count)
+    return (np.zeros(size), 0) if df is None else (df, int(n))
 
 
 def idf_table(df: np.ndarray, n: int) -> np.ndarray:
@@ -122,7 +104,7 @@ def signatures(n_docs: int, d: np.ndarray, s: np.ndarray, w: np.ndarray, samples
 
 
 def sketches(docs: DataFrame, idf, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, node, bands): node is the hash of the word sequence, null without words."""
+    """(doc_id, text_key, node, bands): text_key is a hash of the text, node of the word sequence, null without words."""
 
     def run(batches):
         table = idf.value
@@ -137,11 +119,15 @@ def sketches(docs: DataFrame, idf, id_col: str, text_col: str) -> DataFrame:
             node = identity(len(texts), doc, h)
             flat = pa.array(bands.view(np.int64).ravel())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(node.view(np.int64), mask=node == 0), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), flat)],
-                names=["doc_id", "node", "bands"],
+                [b.column(0), b.column(2), pa.array(node.view(np.int64), mask=node == 0), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), flat)],
+                names=["doc_id", "text_key", "node", "bands"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, node long, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"), text_key(text_col)).mapInArrow(run, "doc_id long, text_key long, node long, bands array<long>")
+
+
+def text_key(text_col: str):
+    return F.xxhash64(F.col(text_col).cast("string")).alias("text_key")
 
 
 def node_texts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -313,62 +299,78 @@ def remaining(e: DataFrame, tried: DataFrame | None, texts: DataFrame, idf, thre
     return links.unionByName(rows.mapInArrow(run, "a long, b long"))
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (smallest doc_id of the class), class_size (rows in it)."""
+def members(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, text_key, first (doc_id and text_key of the class's first row), class_size."""
     df, n = frequencies(docs, text_col)
     idf = docs.sparkSession.sparkContext.broadcast(idf_table(df, n))  # 4 MB
+    keys = ["band", "value"]
     sk = saved(sketches(docs, idf, id_col, text_col), "sketches")
-    nodes = sk.filter("node is not null").groupBy("node").agg(F.first("bands").alias("bands"))
-    entries = nodes.select("node", F.posexplode("bands").alias("band", "value"), "bands")
-    shared = entries.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1").select("band", "value")
+    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))
+    nodes = saved(sk.filter("node is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.min(named).alias("first"), F.count("*").alias("n")), "nodes")
+    entries = nodes.select("node", F.posexplode("bands").alias(*keys), "bands")
     # Nodes alone in their bucket are gone from here on.
-    entries = saved(entries.join(shared, ["band", "value"]), "buckets")
+    entries = saved(entries.join(entries.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys), keys), "buckets")
     texts = saved(node_texts(docs, text_col).join(entries.select("node").distinct(), "node").groupBy("node").agg(F.first("text").alias("text")), "texts")
-    links = tried = None
-    found = entries.select("node").distinct().withColumn("component", F.col("node"))
-
-    def labelled():
-        return entries.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")) if links is not None else entries.withColumn("component", F.col("node"))
-
-    def joined(links):
-        return components(links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))), links)
-
-    for leaders, finer in ROUNDS:
-        e = labelled()
-        keys = ["band", "value"]
-        if finer:
-            e = e.withColumn("next", F.element_at("bands", F.pmod(F.col("band") + finer, F.lit(BANDS)) + 1))
-            keys.append("next")
-        e = e.drop("bands")
-        # Leaders come from one component of the bucket, so a pair always joins two components.
+    links = tried = found = None
+    used = [entries, texts]
+
+    def mixed():
+        """Entries, with components, of the buckets that hold more than one; once whole, a bucket stays whole."""
+        e = entries.withColumn("component", F.col("node")) if found is None else entries.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        e = saved(e, "labelled")
         main = e.groupBy(*keys).agg(F.min("component").alias("main"), F.max("component").alias("other")).filter(F.col("main") < F.col("other")).drop("other")
-        e = e.join(main, keys)
+        out = saved(e.join(main, keys), "mixed")
+        released(e)
+        used.append(out)
+        return out
+
+    def joined():
+        out = saved(components(links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))), links), "components")
+        used.append(out)
+        return out
+
+    for leaders in ROUNDS:
+        e = mixed()
+        entries = e.drop("component", "main")
+        # Leaders come from one component of the bucket, so a pair always joins two components.
         picks = [F.min(F.struct(F.xxhash64("node", F.lit(j)), F.col("node"))).alias(f"l{j}") for j in range(leaders)]
         lead = e.filter(F.col("component") == F.col("main")).groupBy(*keys).agg(*picks).select(*keys, F.array_distinct(F.array(*[f"l{j}.node" for j in range(leaders)])).alias("leads"))
         pairs = e.filter(F.col("component") != F.col("main")).join(lead, keys).select(F.explode("leads").alias("a"), F.col("node").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
+        used.append(pairs)
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = saved(verified(pairs, texts, idf, threshold), "links")
+        used.append(new)
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
-            found = joined(links)
-    rest = saved(remaining(labelled(), tried, texts, idf, threshold), "links")
+            found = joined()
+    rest = saved(remaining(mixed().drop("main"), tried, texts, idf, threshold), "links")
+    used.append(rest)
     if not rest.isEmpty():
         links = rest if links is None else links.unionByName(rest)
-        found = joined(links)
-    label = sk.select("doc_id", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    with_words = label.filter("component is not null")
-    best = with_words.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    one = with_words.join(best, "component").select("doc_id", "class_id", "class_size")
-    return one.unionByName(sk.filter("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
+        found = joined()
+    comp = nodes.select("node", "first", "n").withColumn("component", F.col("node"))
+    if found is not None:
+        comp = comp.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    comp = saved(comp, "labels")
+    best = comp.groupBy("component").agg(F.min("first").alias("first"), F.sum("n").alias("class_size"))
+    of_node = saved(hot_join(comp.select("node", "component"), best, "component", hot_keys(comp, "component", n)).drop("component"), "classes")
+    hot = saved(nodes.filter(F.col("n") >= max(n / 1000, 2)).select("node"), "hot")
+    released(*used)
+    out = hot_join(sk.filter("node is not null").select("doc_id", "text_key", "node"), of_node, "node", hot).drop("node")
+    return out.unionByName(sk.filter("node is null").select("doc_id", "text_key", named.alias("first"), F.lit(1).cast("long").alias("class_size")))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id (smallest doc_id of the class), class_size (rows in it)."""
+    return members(docs, threshold, id_col, text_col).select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size")
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of ``docs`` whose id is their class id, equal rows once. Rows without an id stay."""
-    kept = classes(docs, threshold).filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    """The first row of each class (smallest doc_id, then smallest text hash), equal rows once. Rows without an id stay."""
+    kept = members(docs, threshold).filter((F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))).select("doc_id", F.col("text_key").alias("__key")).distinct()
+    # The join leaves rows dealt and sorted by both keys, so equal rows meet without another shuffle.
+    named = docs.withColumn("__key", text_key("text")).join(kept, ["doc_id", "__key"], "left_semi").dropDuplicates(["doc_id", "__key"])
+    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))

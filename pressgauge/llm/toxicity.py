@@ -1,10 +1,14 @@
 """Toxicity: a linear softmax over the average of subword-bag word vectors, both trained together in numpy.
 
 A word's vector is the mean of the vectors of its character n-grams and of the whole word, hashed into a fixed table, so an
-unseen misspelling shares most of its vector with the words it resembles. Buckets that toxic documents do not hold more
-often than others, by a z test on document counts, keep the zero vector: a document's average is then made of the few
-n-grams that carry the label, not of the noise of all others. The model is linear after the average, so a trained word is
-one number: scoring looks words up and averages. Inputs are texts and labels only.
+unseen misspelling shares most of its vector with the words it resembles. Every n-gram has a vector; in the average it weighs
+by how far its document counts in the two classes differ (a z value, either sign), so common n-grams that tell nothing add
+little noise. The model is linear after the average, so a trained word is one number: scoring looks words up and averages.
+Inputs are texts and labels only.
+
+Training runs in one executor task on a bounded sample of labelled documents, each with its whole text; only one number a
+bucket comes back. Null and empty texts score by the bias alone; repeated rows and null ids are scored each; labels that
+are null or not 0 or 1 are ignored; other columns pass through, and one named like the score is replaced.
 """
 
 from __future__ import annotations
@@ -19,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled documents used to fit, at most, per class (the bound on what reaches the driver), and words of each used.
-FIT_DOCS, FIT_WORDS = 4000, 600
+#: Labelled documents used to fit, at most, per class (the bound on the training sample; of each, the whole text counts).
+FIT_DOCS = 4000
 BUCKETS, DIM, NGRAMS = 1 << 17, 16, (3, 4, 5)
 THRESHOLD = 0.7
-#: z value and document count a bucket needs to get a vector, and the gain on the average (toxic words are a few in 100).
-MIN_Z, MIN_DF, GAIN = 4.0, 5, 30.0
+#: A bucket weighs (z^2 / (z^2 + MID_Z^2))^2; GAIN scales the average (toxic words are a few in 100).
+MID_Z, GAIN = 6.0, 30.0
 #: Words remembered per worker, characters of such a word at most, and subwords that fitting documents hold at once at most.
 CACHE, CACHE_CHARS, HELD = 300_000, 64, 20_000_000
 _WORD = re.compile(r"\w+")
@@ -42,27 +46,28 @@ def held_out(doc_id):
 
 
 class Model:
-    def __init__(self, table: np.ndarray, weight: np.ndarray, bias: np.ndarray):
-        self.table, self.weight, self.bias = table, weight, bias
+    """One number a bucket (its vector times the difference of the two class weights, scaled) and the bias."""
 
-    def reduced(self) -> tuple[np.ndarray, float]:
-        """Per-bucket score difference of the two classes and the bias."""
-        d = self.weight[:, 1] - self.weight[:, 0]
-        return (self.table @ d).astype(np.float32), float(self.bias[1] - self.bias[0])
+    def __init__(self, scores: np.ndarray, bias: float):
+        self.scores, self.bias = scores, bias
 
+    @classmethod
+    def constant(cls, bias: float) -> Model:
+        return cls(np.zeros(BUCKETS, np.float32), bias)
 
-def _selected(docs, y: np.ndarray) -> np.ndarray:
-    """Buckets that documents with label 1 hold significantly more often."""
+
+def importance(docs, y: np.ndarray) -> np.ndarray:
+    """Weight of every bucket from the numbers of documents of each class that hold it."""
     n1, n0 = max((y == 1).sum(), 1), max((y == 0).sum(), 1)
     count = np.zeros((2, BUCKETS))
     for u, k in zip(docs, y, strict=True):
         count[k, u] += 1
     p = count.sum(0) / (n1 + n0)
-    z = (count[1] / n1 - count[0] / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-    return (z >= MIN_Z) & (count.sum(0) >= min(MIN_DF, n1))
+    z2 = (count[1] / n1 - count[0] / n0) ** 2 / np.maximum(p * (1 - p) * (1 / n1 + 1 / n0), 1e-12)
+    return ((z2 / (z2 + MID_Z**2)) ** 2).astype(np.float32)
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 20, rate: float = 0.1, seed: int = 1) -> Model:
+def fit(texts: list[str], labels: np.ndarray, epochs: int = 10, rate: float = 0.1, seed: int = 1) -> Model:
     """Train embedding table and softmax together by Adagrad on single documents in random order.
 
     The bias is then moved so that THRESHOLD falls on the cut of the fitting documents with the best recall less ten
@@ -94,19 +99,25 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 20, rate: float = 0.
         nonlocal space
         for i, t in enumerate(texts):
             u, v = bag(t)
-            if len(u) <= space:  # the others are made again below
+            if len(u) <= space:  # the others are made again in every round
                 held[i], space = (u, v), space - len(u)
             yield u
 
-    keep = _selected(buckets(), y)
-    docs = [(u[keep[u]], v[keep[u]] * GAIN) for u, v in (held.pop(i, None) or bag(t) for i, t in enumerate(texts))]
+    gain = GAIN * importance(buckets(), y)
+    held = {i: (u, v * gain[u]) for i, (u, v) in held.items()}
+
+    def weighted(i):
+        if i in held:
+            return held[i]
+        u, v = bag(texts[i])
+        return u, v * gain[u]
+
     table = (rng.random((BUCKETS, DIM), np.float32) - 0.5) / DIM
-    table[~keep] = 0
     weight, bias = rng.random((DIM, 2), np.float32) - 0.5, np.zeros(2, np.float32)
     seen_t, seen_w, seen_b = np.full(BUCKETS, 1e-6, np.float32), np.full_like(weight, 1e-6), np.full_like(bias, 1e-6)
     for _ in range(epochs):
-        for i in rng.permutation(len(docs)):
-            u, v = docs[i]
+        for i in rng.permutation(len(texts)):
+            u, v = weighted(i)
             h = v @ table[u] if len(u) else np.zeros(DIM, np.float32)
             z = h @ weight + bias
             p = np.exp(z - z.max())
@@ -121,16 +132,15 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 20, rate: float = 0.
                 weight -= rate * g / np.sqrt(seen_w)
             seen_b += p * p
             bias -= 0.1 * p / np.sqrt(seen_b)
-    model = Model(table * np.float32(GAIN), weight, bias)
-    scores, b = model.reduced()
-    logit = np.array([float(v @ scores[u]) / GAIN + b if len(u) else b for u, v in docs])
+    scores, b = table @ (weight[:, 1] - weight[:, 0]), float(bias[1] - bias[0])
+    logit = np.array([float(v @ scores[u]) + b if len(u) else b for u, v in map(weighted, range(len(texts)))])
     if (y == 1).any() and (y == 0).any():
         levels = np.unique(logit)
-        gain = [((logit >= c)[y == 1].mean() - 10 * (logit >= c)[y == 0].mean(), i) for i, c in enumerate(levels)]
-        i = max(gain)[1]
+        best = [((logit >= c)[y == 1].mean() - 10 * (logit >= c)[y == 0].mean(), i) for i, c in enumerate(levels)]
+        i = max(best)[1]
         cut = (levels[i] + levels[i - 1]) / 2 if i else levels[0]
-        bias[1] += np.log(THRESHOLD / (1 - THRESHOLD)) - cut
-    return model
+        b += float(np.log(THRESHOLD / (1 - THRESHOLD)) - cut)
+    return Model((scores * gain).astype(np.float32), b)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = FIT_DOCS) -> Model:
@@ -142,25 +152,20 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = FIT_DOCS) -> Model
     lab = lab.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picks = [lab.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs) for k in (0, 1)]
     chosen = picks[0].unionByName(picks[1])
-    # ids first (2 x max_docs rows at most), so texts are read behind a broadcast filter; words are drawn from whole texts
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").mapInPandas(_drawn, "doc_id long, words string, toxic int").collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.words))
-    if len({r.toxic for r in rows}) < 2:
-        only = rows[0].toxic if rows else 0
-        return Model(np.zeros((BUCKETS, DIM), np.float32), np.zeros((DIM, 2), np.float32), np.array([0, 4 if only else -4], np.float32))
-    return fit([r.words for r in rows], np.array([r.toxic for r in rows]))
-
-
-def _drawn(batches):
-    for pdf in batches:
-        pdf["words"] = [" ".join(draw(_WORD.findall((t or "").lower()))) for t in pdf["text"]]
-        yield pdf[["doc_id", "words", "toxic"]]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
+        if not rows:
+            return
+        rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1] or ""))
+        y = np.array([r[2] for r in rows])
+        model = fit([r[1] or "" for r in rows], y) if len(set(y.tolist())) == 2 else Model.constant(4.0 if y[0] else -4.0)
+        yield pa.RecordBatch.from_arrays([pa.array([model.scores.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], names=["scores", "bias"])
 
-def draw(words: list[str]) -> list[str]:
-    """At most FIT_WORDS words, evenly spread over the whole text."""
-    n = len(words)
-    return words if n <= FIT_WORDS else [words[i * n // FIT_WORDS] for i in range(FIT_WORDS)]
+    # Ids first (2 x max_docs rows at most), so texts are read behind a broadcast filter and few of them move.
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long"), "text", "toxic")
+    got = texts.repartition(1).mapInArrow(run, "scores binary, bias double").collect()
+    return Model(np.frombuffer(got[0].scores, np.float32), got[0].bias) if got else Model.constant(-4.0)
 
 
 class _Words(dict):
@@ -177,22 +182,22 @@ class _Words(dict):
         return v
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score``; every word of every text counts, an empty or null text scores by the bias alone."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model.reduced())  # BUCKETS floats, a fixed size
-    schema = docs.select("*", F.lit(0.0).alias("score")).schema
-    at = docs.columns.index(text_col)
+def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
+    """``docs`` with ``out``; every word of every text counts, an empty or null text scores by the bias alone."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.scores, model.bias))  # BUCKETS floats, a fixed size
+    rest = docs.select(*[c for c in docs.columns if c != out])
+    schema = rest.withColumn(out, F.lit(0.0)).schema
+    at = rest.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores, bias = shared.value
         words = _Words(scores)
         for b in batches:
-            out = np.empty(b.num_rows)
+            logit = np.empty(b.num_rows)
             for i, t in enumerate(b.column(at)):
                 found = _WORD.findall((t.as_py() or "").lower())
-                out[i] = bias + (sum(map(words.__getitem__, found)) / len(found) if found else 0.0)
-            p = 1 / (1 + np.exp(-np.clip(out, -50, 50)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, "score"])
+                logit[i] = bias + (sum(map(words.__getitem__, found)) / len(found) if found else 0.0)
+            p = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, out])
 
-    return docs.mapInArrow(run, schema)
+    return rest.mapInArrow(run, schema)

@@ -16,7 +16,7 @@ def test_held_out_accuracy(spark):
     auc = (rank[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() + 1) / 2) / ((y == 1).sum() * (y == 0).sum())
     hit = p >= T.THRESHOLD
     print("auc", auc, "recall", hit[y == 1].mean(), "precision", y[hit].mean())
-    assert auc > 0.94 and hit[y == 1].mean() > 0.85 and y[hit].mean() > 0.95
+    assert auc > 0.96 and hit[y == 1].mean() > 0.9 and y[hit].mean() > 0.95
 
 
 def test_misspellings_and_odd_rows(spark):
@@ -44,4 +44,4 @@ def test_long_runs_count_to_their_end(spark, monkeypatch):
     assert got[1] > 0.5 > got[2]
     monkeypatch.setattr(T, "HELD", 0)
     again = T.fit(bad + good, y)
-    assert all(np.array_equal(a, b) for a, b in zip(m.reduced(), again.reduced(), strict=True))
+    assert all(np.array_equal(a, b) for a, b in ((m.scores, again.scores), (m.bias, again.bias)))
