@@ -99,4 +99,5 @@ def hamming(a: Column, b: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Trimmed, non-empty sentences, split after a terminator or at a line end."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?。!?])\s+|\n+"), strip), lambda s: s != "")
+    lines = F.split(F.regexp_replace(text, r"([.!?。!?])\s+", "$1\n"), r"\n+")
+    return F.filter(F.transform(lines, strip), lambda s: s != "")

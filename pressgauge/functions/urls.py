@@ -39,8 +39,8 @@ def _decode(c: Column) -> Column:
 def canonicalize(url: Column) -> Column:
     """Stable key of an article URL; NULL for an unusable port, the trimmed input when there is no host.
 
-    https is forced, one leading ``www.`` and userinfo go, the scheme's own port goes, a trailing ``/`` goes unless
-    it is the root, tracking parameters go, the rest is sorted by (key, value), the fragment goes.
+    https is forced, one leading ``www.`` and userinfo go, the scheme's own port goes (443 where there is no port of its
+    own), a trailing ``/`` goes unless it is the root (of a path of several slashes all go), tracking parameters go, the rest is sorted by (key, value), the fragment goes.
     """
     u = F.regexp_replace(strip(url), r"[\t\r\n]", "")
     part = lambda i: F.regexp_extract(u, _SPLIT, i)
@@ -50,10 +50,8 @@ def canonicalize(url: Column) -> Column:
     port = F.regexp_extract(hostport, r":([^:\]]*)$", 1)
     number = port.try_cast("int")
     usable = (port == "") | (port.rlike("^[0-9]+$") & number.between(0, 65535))
-    default = F.when(scheme == "http", 80).when(scheme == "https", 443)
-    keep_port = (port != "") & ~F.coalesce(number == default, F.lit(False)) & (number != 0)
-    path = F.regexp_replace(part(3), "/+$", "")
-    path = F.when(path == "", F.lit("/")).otherwise(path)
+    keep_port = (port != "") & (number != F.when(scheme == "http", 80).otherwise(443))
+    path = F.when(part(3).isin("", "/"), F.lit("/")).otherwise(F.regexp_replace(part(3), "/+$", ""))
     pairs = F.transform(
         F.filter(F.split(part(4), "&"), lambda s: s != ""),
         lambda s: F.struct(
@@ -71,19 +69,36 @@ def host_of(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"^www\.", "")
 
 
+def _without_dots(path: Column) -> Column:
+    """``.`` and ``..`` segments resolved; ``..`` at the root stays at the root, and a last dot segment leaves a slash."""
+    parts = F.split(path, "/", -1)
+    empty = F.expr("cast(array() as array<string>)")
+    walked = F.aggregate(
+        parts, empty,
+        lambda done, s: F.when(s == ".", done).when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.array_append(done, s)),
+    )
+    last = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(empty)
+    return F.when(F.concat(F.lit("/"), path, F.lit("/")).contains("/./") | F.concat(F.lit("/"), path, F.lit("/")).contains("/../"), F.array_join(F.concat(walked, last), "/")).otherwise(path)
+
+
 def resolve(base: str, href: Column) -> Column:
-    """Absolute URL of ``href`` on a page at ``base``: absolute, scheme-relative, rooted, query and plain relative forms."""
+    """Absolute URL of ``href`` on a page at ``base``: absolute, scheme-relative, rooted, query and plain relative forms.
+
+    Outer blanks go; dot segments of rooted and relative paths are resolved.
+    """
     from urllib.parse import urlsplit
 
     b = urlsplit(base)
-    root, folder = f"{b.scheme}://{b.netloc}", f"{b.scheme}://{b.netloc}{b.path.rpartition('/')[0]}/"
+    root, folder = f"{b.scheme}://{b.netloc}", b.path.rpartition("/")[0] + "/"
+    ref = strip(href)
+    path, rest = F.regexp_extract(ref, r"^([^?#]*)", 1), F.regexp_extract(ref, r"^[^?#]*([\s\S]*)$", 1)
     return (
-        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(F.lit(f"{b.scheme}:"), href))
-        .when(href.startswith("/"), F.concat(F.lit(root), href))
-        .when(href.startswith("?"), F.concat(F.lit(root + b.path), href))
-        .when(href.startswith("#") | (href == ""), F.concat(F.lit(base.partition("#")[0]), href))
-        .otherwise(F.concat(F.lit(folder), href))
+        F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
+        .when(ref.startswith("//"), F.concat(F.lit(f"{b.scheme}:"), ref))
+        .when(ref.startswith("/"), F.concat(F.lit(root), _without_dots(path), rest))
+        .when(ref.startswith("?"), F.concat(F.lit(root + b.path), ref))
+        .when(ref.startswith("#") | (ref == ""), F.concat(F.lit(base.partition("#")[0]), ref))
+        .otherwise(F.concat(F.lit(root), _without_dots(F.concat(F.lit(folder if folder.startswith("/") else "/" + folder), path)), rest))
     )
 
 

@@ -110,6 +110,17 @@ def framing_delta(text: Column, origin: Column) -> tuple[Column, Column, Column]
     return F.array_except(a, b), F.array_except(b, a), F.array_intersect(a, b)
 
 
+def shared_core(members: DataFrame, cluster: str = "cluster_id", text: str = "text") -> DataFrame:
+    """Sentences that every member of a cluster holds, sorted: cluster, members, shared_core_text.
+
+    Counted as (cluster, sentence) rows with a map-side combine, so no task holds a cluster's texts.
+    """
+    size = members.groupBy(cluster).agg(F.count("*").alias("members"))
+    each = members.select(cluster, F.explode(F.array_distinct(sentences(F.col(text)))).alias("s")).groupBy(cluster, "s").agg(F.count("*").alias("n"))
+    common = each.join(size, cluster).filter(F.col("n") == F.col("members")).groupBy(cluster).agg(F.sort_array(F.collect_list("s")).alias("core"))
+    return size.join(common, cluster, "left").select(cluster, "members", F.array_join(F.coalesce("core", F.array().cast("array<string>")), "\n").alias("shared_core_text"))
+
+
 def label_distribution(rows: DataFrame, by: list[str], label: str, values: list) -> DataFrame:
     """Share of each label value per group; the values are given, so no extra pass finds them."""
     counts = rows.filter(F.col(label).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), *[F.count_if(F.col(label) == v).alias(f"n_{v}") for v in values])

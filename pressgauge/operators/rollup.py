@@ -37,17 +37,20 @@ def daily_totals(index: DataFrame, since: Column | None = None, tz: str = LOCAL_
 def day_coverage(runs: DataFrame, tz: str = LOCAL_TZ) -> DataFrame:
     """First and last good run and the widest gap per outlet and local day.
 
-    ``lag`` is partitioned by outlet alone, so a gap over midnight is charged to the day of the run that ends it.
-    The window's one exchange on the outlet also serves the aggregation.
+    A gap over midnight is charged to the day of the run that ends it. Gaps within a day come from a window over that day
+    alone; the gap into a day is its first run less the last run of the outlet's day before, found on one row a day, so the
+    runs of a busy outlet never meet in one task.
     """
     ok = runs.filter("ok").select("outlet", "started_at", "run_id")
-    w = W.partitionBy("outlet").orderBy("started_at", "run_id")
-    gap = micros(F.col("started_at")) - micros(F.lag("started_at").over(w))
     local = local_time(F.col("started_at"), tz)
-    r = ok.select("outlet", local.alias("ts"), local.cast("date").alias("day"), gap.alias("gap"))
-    return r.groupBy("outlet", "day").agg(
-        F.min("ts").alias("first_run"), F.max("ts").alias("last_run"), F.coalesce(F.max("gap"), F.lit(NO_PREVIOUS_RUN_S * 1_000_000)).alias("max_gap_us")
+    r = ok.select("outlet", local.alias("ts"), local.cast("date").alias("day"), micros(F.col("started_at")).alias("us"), "run_id")
+    within = F.col("us") - F.lag("us").over(W.partitionBy("outlet", "day").orderBy("us", "run_id"))
+    d = r.withColumn("gap", within).groupBy("outlet", "day").agg(
+        F.min("ts").alias("first_run"), F.max("ts").alias("last_run"), F.max("gap").alias("gap"), F.min("us").alias("from"), F.max("us").alias("to")
     )
+    into = F.col("from") - F.lag("to").over(W.partitionBy("outlet").orderBy("from"))
+    widest = F.coalesce(F.greatest("gap", into), F.lit(NO_PREVIOUS_RUN_S * 1_000_000))
+    return d.select("outlet", "day", "first_run", "last_run", widest.alias("max_gap_us"))
 
 
 def completeness(totals: DataFrame, coverage: DataFrame, today: Column, max_gap_minutes: int = 90) -> DataFrame:

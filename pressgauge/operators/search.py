@@ -26,8 +26,9 @@ def inverted_index(docs: DataFrame, key: str, column: str) -> DataFrame:
     return docs.select(key, F.explode(F.array_distinct(tokens(F.col(column)))).alias("token"))
 
 
-def resegment(table: DataFrame, source: str, target: str, terms: tuple[str, ...] = ()) -> DataFrame:
-    """Recompute a token column over the whole table; rows with no text keep what they have."""
+def resegment(table: DataFrame, source: str, target: str, terms: tuple[str, ...] = (), order_by: str | None = None) -> DataFrame:
+    """Recompute a token column over the whole table; rows with no text keep what they have. ``order_by`` sorts the result."""
     has = F.col(source).isNotNull() & (F.col(source) != "")
     fresh = segment_udf(terms)(F.col(source))
-    return table.withColumn(target, F.when(has, fresh).otherwise(F.col(target)) if target in table.columns else F.when(has, fresh))
+    out = table.withColumn(target, F.when(has, fresh).otherwise(F.col(target)) if target in table.columns else F.when(has, fresh))
+    return out if order_by is None else out.orderBy(order_by)

@@ -7,10 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import html as H
+from ..functions import registry
 from ..functions import text as T
 from ..functions import times as D
 from ..functions import urls as U
 from ..operators import coverage as C
+from ..operators import crawl as K
 from ..operators import enrich as E
 from ..operators import merge as M
 from ..operators import rollup as R
@@ -177,8 +179,10 @@ def cache_first(spark, d):
 
 
 def strip_trailing_clock(spark, d):
-    clock = F.concat(F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("  "), (F.col("p_partkey") % 24).cast("string"), F.lit(":"), F.lpad((F.col("p_partkey") % 60).cast("string"), 2, "0"))).otherwise(""))
-    return table(spark, d, "part").select("p_partkey", T.strip_trailing_clock(clock).alias("title"))
+    k = F.col("p_partkey")
+    clock = F.concat((k % 130).cast("string"), F.lit(":"), (k % 75).cast("string"))
+    title = F.when(k % 3 == 0, F.concat("p_name", F.lit("  "), clock)).when(k % 3 == 1, F.concat(clock, F.lit(" "), "p_name")).otherwise(F.concat("p_name", clock, F.lit(" "), "p_type"))
+    return table(spark, d, "part").select("p_partkey", T.strip_trailing_clock(title).alias("title"))
 
 
 def _stamp(fmt):
@@ -234,8 +238,14 @@ def title_search_topk(spark, d):
     return S.search(_searchable(spark, d), "the with", 200).select("id", _sec("effective_at").alias("effective_s"))
 
 
+def title_search_rank(spark, d):
+    return S.search(_searchable(spark, d), "the of", 50).select("id", F.round("rank", 9).alias("rank"))
+
+
 def search_empty(spark, d):
-    return S.search(_searchable(spark, d), "  ", 200).select("id", _sec("effective_at").alias("effective_s"))
+    """A blank keyword adds no rows to those of a real one."""
+    docs = _searchable(spark, d)
+    return S.search(docs, "  ", 200).unionByName(S.search(docs, "la", 20)).select("id", _sec("effective_at").alias("effective_s"))
 
 
 def token_postings(spark, d):
@@ -243,7 +253,9 @@ def token_postings(spark, d):
 
 
 def resegment(spark, d):
-    return S.resegment(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", "title_seg").select("p_partkey", "title_seg")
+    part = table(spark, d, "part").select("p_partkey", F.concat_ws("-", "p_name", "p_type", "p_size").alias("p_name"), F.lit("old").alias("title_seg"))
+    part = part.withColumn("p_name", F.when(F.col("p_partkey") % 10 != 0, F.col("p_name")))
+    return S.resegment(part, "p_name", "title_seg", ("cold widget", "small bolt"), "p_partkey").select("p_partkey", "title_seg")
 
 
 def listing_links(spark, d):
@@ -261,12 +273,181 @@ def body_extract(spark, d):
     return b.select("page_id", F.length("body").alias("body_chars"), F.sha2("body", 256).alias("body_sha256"))
 
 
-def enrich_pages(spark, d):
-    p = table(spark, d, "pages").select(
-        F.col("page_id").alias("id"), F.when(F.col("page_id") % 9 != 0, F.col("html")).alias("html"), (F.col("page_id") % 2 == 0).alias("from_cache"),
-        F.lit("2024-01-15 12:00:00").cast("timestamp").alias("seen_at"), F.lit(None).cast("timestamp").alias("published_at"), F.lit(False).alias("timestamp_offset_is_wrong"),
+def _built(spark, d):
+    """Pages made from ``part``: chrome inside an article, a marked body, dense blocks, or none; times of five kinds."""
+    k, name, kind = F.col("p_partkey"), F.col("p_name"), F.col("p_type")
+    words = F.repeat(F.concat(name, F.lit(" ")), F.col("p_size"))
+    body = (
+        F.when(k % 4 == 0, F.concat(F.lit("<div>x</div><ARTICLE><nav>menu</nav><p>"), words, F.lit("</p><p> <style>p{}</style> </p><p><b>"), kind, F.lit("</b><script>no()</script>!</p></ARTICLE>")))
+        .when(k % 4 == 1, F.concat(F.lit("<p>no</p><section itemprop=articleBody><aside>ad</aside>"), words, F.lit("<i>"), kind, F.lit("</i></section>")))
+        .when(k % 4 == 2, F.concat(F.lit("<div>"), kind, F.lit("</div><div><h1>"), name, F.lit("</h1><p>"), words, F.lit("</p></div>")))
+        .otherwise(F.concat(F.lit("<p>"), words, F.lit("</p>")))
+    )
+    at = F.concat(F.lit("2024-01-"), F.lpad((k % 28 + 1).cast("string"), 2, "0"))
+    ld = F.when(k % 7 == 0, F.concat(F.lit('{"datePublished": "'), at, F.lit('T08:00:00+08:00"}'))).when(k % 7 == 1, F.concat(F.lit('[3, {"datePublished": "'), at, F.lit('T09:00:00Z"}, {}]'))).otherwise(F.lit("{bad"))
+    head = F.concat(
+        F.lit('<script type="application/ld+json">'), ld, F.lit("</script>"),
+        F.when(k % 5 < 2, F.concat(F.lit('<meta property="og:article:published_time" content="'), at, F.lit(' 10:00:00">'))).otherwise(""),
+        F.when(k % 5 == 1, F.concat(F.lit('<meta property="article:published_time" content="'), at, F.lit(' 11:00:00">'))).otherwise(""),
+        F.when(k % 5 == 2, F.concat(F.lit('<meta name="pubdate" content="'), at, F.lit(' 12:00:00">'))).otherwise(""),
+        F.when(k % 3 == 0, F.concat(F.lit("<time datetime='"), at, F.lit("T13:00:00+00:00'>t</time>"))).otherwise(""),
+    )
+    return table(spark, d, "part").select(k, name, kind, F.col("p_size"), F.concat(head, body).alias("html"))
+
+
+def article_body(spark, d):
+    return _built(spark, d).select("p_partkey", H.extract_body("html").alias("body"))
+
+
+def article_times(spark, d):
+    return _built(spark, d).select("p_partkey", F.array_join(H.published_candidates("html"), "|").alias("times"))
+
+
+def _tier2(spark, d):
+    b = _built(spark, d)
+    k, seen = F.col("p_partkey"), F.lit("2024-01-14 12:00:00").cast("timestamp")
+    url = F.concat(F.lit("https://x.example/"), k.cast("string"))
+    index = b.select(
+        k.alias("id"), F.when(k % 2 == 0, "a").otherwise("b").alias("outlet"), url.alias("url_canonical"), url.alias("url_original"), F.col("p_name").alias("title"),
+        F.col("p_name").alias("title_seg"), F.when(k % 6 == 0, seen).alias("published_at"), seen.alias("seen_at"), F.lit(False).alias("body_fetched"),
+    )
+    pages = index.select("id", U.cache_path(F.col("outlet"), F.col("url_canonical"), F.col("seen_at")).alias("path")).join(b.select(k.alias("id"), "html"), "id")
+    old = b.filter(k % 8 == 0).select(k.alias("id"), F.lit("old").alias("body"), F.lit(None).cast("string").alias("body_seg"), F.lit(None).cast("string").alias("raw_html_path"), F.lit("fetched").alias("enrich_state"), F.lit(None).cast("string").alias("enrich_error"))
+    outlets = spark.createDataFrame([("a", False), ("c", True)], "code string, timestamp_offset_is_wrong boolean")
+    return E.enrich_keyword(index, old, pages.filter(F.col("id") % 3 == 0).drop("id"), pages.filter(F.col("id") % 5 != 0).drop("id"), outlets, "widget", 1_000_000)
+
+
+def enrich_outcomes(spark, d):
+    o = _tier2(spark, d)["outcomes"]
+    return o.select("id", "from_cache", "state", "error", "backfills", F.unix_seconds("recovered_at").alias("recovered_s"), F.length("body").alias("body_chars"))
+
+
+def enrich_counters(spark, d):
+    return _tier2(spark, d)["counters"]
+
+
+def enrich_tables(spark, d):
+    t = _tier2(spark, d)
+    index = t["index"].select("id", "body_fetched", F.unix_seconds("published_at").alias("published_s"))
+    return index.join(t["articles"].select("id", F.length("body").alias("body_chars"), "enrich_state", F.col("enrich_error").isNotNull().alias("has_error")), "id", "left")
+
+
+def island_listing(spark, d):
+    k = F.col("p_partkey")
+    props = F.concat(
+        F.lit('{"initialArticles":[0,{"data":[1,[[0,{"articleId":[0,'), k.cast("string"), F.lit('],"title":[0," '), "p_name", F.lit('"],"articleUrl":[0,"'), F.when(k % 2 == 0, F.concat(F.lit("/a/../b/"), "p_type")).otherwise(""),
+        F.lit('"],"publishedAt":[0,'), F.when(k % 3 == 0, F.lit('"soon"')).otherwise((k + 1_700_000_000).cast("string")), F.lit(']}],[0,{"articleId":[0,7],"title":[0," "]}],"odd"]]}]}'),
     )
-    return E.counters(E.enrich(p))
+    html = F.when(k % 5 == 0, F.lit("<p>no component</p>")).otherwise(F.concat(F.lit('<astro-island component-url="/x/RealTimeList.js" props="'), F.replace(props, F.lit('"'), F.lit("&quot;")), F.lit('"></astro-island>')))
+    pages = table(spark, d, "part").select(k.cast("string").alias("outlet"), html.alias("html"))
+    got = L.island_stubs(pages, "https://l.example/now/")
+    return got.select("outlet", "url_original", "title", F.unix_seconds("published_at").alias("published_s"), "error")
+
+
+def _section_feeds(spark, d):
+    """Feeds of ``nation``, three for each region, with entities, CDATA, empty entries, unusable dates and feeds that are down."""
+    k = F.col("n_nationkey")
+    date = F.when(k % 3 == 0, "Fri, 05 Jan 2024 10:00:00 +0800").when(k % 3 == 1, "2024-01-05T02:00:00Z").otherwise("Thu, 01 Jan 1970 00:00:00 GMT")
+    item = F.concat(F.lit("<item><title>It&#8217;s <![CDATA["), F.col("n_name"), F.lit(" & co]]> &amp; &#x4E2D;</title><link>https://x.example/"), (k % 7).cast("string"), F.lit("?utm_source=a</link><pubDate>"), date, F.lit("</pubDate></item>"))
+    hollow = F.when(k % 2 == 0, "<item><title> </title><link></link></item>").otherwise("")
+    body = F.concat(F.lit("<rss><channel>"), item, hollow, F.lit("</channel></rss>"))
+    return table(spark, d, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("outlet"), k.alias("feed_pos"), F.when(k % 11 != 10, body).alias("body"))
+
+
+def feed_entries(spark, d):
+    e = L.feed_entries(_section_feeds(spark, d))
+    return e.select("outlet", "feed_pos", "entry_pos", "link", "title", F.unix_seconds("published_at").alias("published_s"))
+
+
+def feed_audit(spark, d):
+    return L.feed_audit(_section_feeds(spark, d))
+
+
+def audit_groups(spark, d):
+    return L.audit_groups(L.feed_audit(_section_feeds(spark, d)))
+
+
+def _tier1(spark, d):
+    feeds = _section_feeds(spark, d)
+    stubs = L.feed_stubs(feeds).withColumn("seen_at", F.lit("2024-01-06").cast("timestamp"))
+    known = spark.createDataFrame([("r0", "https://x.example/0"), ("r1", "https://x.example/1")], "outlet string, url_canonical string")
+    outlets = feeds.select("outlet").unionByName(spark.createDataFrame([("silent",)], "outlet string"))
+    new = K.ingest(stubs, known)
+    return new, K.log(outlets, stubs, new, L.feed_failures(feeds))
+
+
+def crawl_new_rows(spark, d):
+    return _tier1(spark, d)[0].select("outlet", "url_canonical", "url_original", "title_seg")
+
+
+def crawl_run_log(spark, d):
+    return _tier1(spark, d)[1].select("outlet", "items_seen", "items_new", "ok", "error")
+
+
+def crawl_outcome(spark, d):
+    return K.outcome(_tier1(spark, d)[1])
+
+
+def charset_repair(spark, d):
+    k, text = F.col("p_partkey"), F.concat("p_name", F.lit(" 新聞 é"))
+    gbk = F.concat(F.encode(F.concat("p_name", F.lit(" ")), "UTF-8"), F.unhex(F.lit("D0C2C284")))
+    files = table(spark, d, "part").select(k, F.when(k % 2 == 0, F.encode(text, "UTF-8")).otherwise(gbk).alias("content"))
+    return P.decoded(files, "ISO-8859-1").select("p_partkey", "text")
+
+
+def page_store(spark, d):
+    """Stored pages read back; a truncated member is a miss."""
+    p = table(spark, d, "pages").select("page_id", P.gzip_bytes("html").alias("z"))
+    cut = F.when(F.col("page_id") % 4 == 0, F.expr("substring(z, 1, length(z) - 9)")).otherwise(F.col("z"))
+    back = p.select("page_id", P.gunzip(cut).alias("html"))
+    return back.select("page_id", F.sha2("html", 256).alias("html_sha256"))
+
+
+def sql_functions(spark, d):
+    """The registered functions, called from SQL."""
+    registry.register(spark)
+    table(spark, d, "part").createOrReplaceTempView("pressgauge_part")
+    return spark.sql("""SELECT p_partkey, segment_text(p_name || ',' || p_type) AS seg, article_body('<article><p>' || p_name || '</p></article>') AS body,
+        lenient_date('Jan 5, 2024 9:00 AM') AS stamp FROM pressgauge_part""")
+
+
+def lenient_datetime(spark, d):
+    k = F.col("o_orderkey") % 5
+    text = F.when(k == 0, F.concat(_stamp("MMM d, yyyy"), F.lit(" 9:30 PM"))).when(k == 1, F.concat(_stamp("d MMMM yyyy"), F.lit(" 09:00"))).when(k == 2, F.concat(_stamp("yyyyMMdd"), F.lit("T090000Z")))
+    text = text.when(k == 3, F.concat(F.lit("Sun "), _stamp("MMM dd"), F.lit(" 09:00:00 "), _stamp("yyyy"))).otherwise(F.lit("9:00"))
+    return table(spark, d, "orders").select("o_orderkey", F.unix_seconds(D.free_datetime(H.lenient_date(text))).alias("published_s"))
+
+
+def resolved_links(spark, d):
+    k = F.col("p_partkey") % 6
+    href = F.when(k == 0, F.concat(F.lit(" ../"), "p_type")).when(k == 1, F.concat(F.lit("/a/./b/../"), "p_type", F.lit("?q=../x"))).when(k == 2, F.concat(F.lit("../../../"), "p_type", F.lit("#s")))
+    href = href.when(k == 3, F.concat(F.lit("//c.example/../"), "p_type")).when(k == 4, F.concat(F.lit("https://d.example/"), "p_type", F.lit("/.."))).otherwise(F.concat("p_type", F.lit("/..")))
+    return table(spark, d, "part").select("p_partkey", U.resolve("https://l.example/x/y/z?p=1", href).alias("url"))
+
+
+def canonical_forms(spark, d):
+    """Odd forms of a URL: ports, schemes, slashes, userinfo, fragments and tracking keys."""
+    k, name = F.col("p_partkey") % 8, F.col("p_type")
+    url = F.when(k == 0, F.concat(F.lit("http://WWW.a.example:80/"), name, F.lit("//#f"))).when(k == 1, F.concat(F.lit("//u:p@a.example:443/"), name)).when(k == 2, F.concat(F.lit("ftp://a.example:443/"), name, F.lit("?FROM=x&b=&a=1")))
+    url = url.when(k == 3, F.concat(F.lit("https://a.example:0/"), name)).when(k == 4, "https://a.example//").when(k == 5, F.concat(F.lit("https://a.example:80/"), name)).when(k == 6, F.concat(F.lit(" "), name, F.lit(" "))).otherwise(F.concat(F.lit("https://a.example?z=1&utm_x=2&y="), name))
+    return table(spark, d, "part").select("p_partkey", U.canonicalize(url).alias("url_canonical"))
+
+
+def shared_core(spark, d):
+    docs = table(spark, d, "documents").select((F.col("doc_id") % 50).alias("cluster_id"), F.concat(F.lit("Same start. "), F.substring("text", 1, 300), F.when(F.col("doc_id") % 50 < 25, "\nSame end!").otherwise("")).alias("text"))
+    return C.shared_core(docs)
+
+
+def streamed_totals(spark, d):
+    """Day totals computed by a streaming query over the events, read from its memory sink."""
+    from ..streaming.crawl import streaming_daily_totals
+
+    e = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
+    stream = e.select(F.col("event_type").alias("outlet"), F.lit(None).cast("timestamp_ntz").alias("published_at"), F.col("ts").alias("seen_at"))
+    q = streaming_daily_totals(stream).writeStream.format("memory").queryName("pressgauge_totals").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    t = spark.table("pressgauge_totals")
+    return t.select("outlet", F.date_format(F.col("day_window.start") + F.expr("interval 8 hours"), "yyyy-MM-dd").alias("day"), "total_articles")
 
 
 def outlet_offset_lookup(spark, d):
@@ -296,9 +477,10 @@ def propagation_rank(spark, d):
 
 
 def originality_rate(spark, d):
-    c = _copies(spark, d)
-    n = F.count("*").over(W.partitionBy("cluster_id"))
-    return C.originality(c.withColumn("n", n).withColumn("cluster_id", F.when(F.col("n") > 1, F.col("cluster_id"))), "outlet")
+    c = _copies(spark, d).select("outlet", "cluster_id")
+    several = c.groupBy("cluster_id").agg(F.count("*").alias("n")).filter("n > 1").select("cluster_id", F.lit(True).alias("copied"))
+    marked = c.join(several, "cluster_id", "left")
+    return C.originality(marked.withColumn("cluster_id", F.when(F.col("copied"), F.col("cluster_id"))), "outlet")
 
 
 def _prints(spark, d):
@@ -316,7 +498,8 @@ def near_dup_pairs(spark, d):
 def near_dup_clusters(spark, d):
     p = _prints(spark, d)
     comp = C.components(p.select(F.col("simhash").alias("node")), C.near_links(p, "doc_id"))
-    return p.select("doc_id", F.col("simhash").alias("node")).join(comp, "node").select("doc_id", F.min("doc_id").over(W.partitionBy("component")).alias("cluster_id"))
+    of = p.select("doc_id", F.col("simhash").alias("node")).join(comp, "node").select("doc_id", "component")
+    return of.join(of.groupBy("component").agg(F.min("doc_id").alias("cluster_id")), "component").select("doc_id", "cluster_id")
 
 
 def framing_delta(spark, d):
@@ -331,21 +514,16 @@ def stance_distribution(spark, d):
     return C.label_distribution(j, ["source"], "quality", [0, 1])
 
 
-def feed_audit(spark, d):
-    o = table(spark, d, "nation")
-    item = F.concat(F.lit("<item><title><![CDATA["), F.col("n_name"), F.lit("]]></title><link>https://x.example/"), F.col("n_nationkey").cast("string"), F.lit("</link><pubDate>Fri, 05 Jan 2024 10:00:00 +0800</pubDate></item><item><title></title><link></link><pubDate>Thu, 01 Jan 1970 00:00:00 GMT</pubDate></item>"))
-    feeds = o.select(F.col("n_name").alias("outlet"), F.col("n_regionkey").alias("feed_pos"), F.concat(F.lit("<rss><channel>"), item, F.lit("</channel></rss>")).alias("body"))
-    return L.feed_audit(feeds)
-
-
 QUERIES = {f.__name__: f for f in (
     daily_totals, trailing_totals, day_coverage, daily_completeness, completeness_summary, rollup_upsert, crawl_health_24h, health_with_silent,
     failed_runs_text, effective_at_rule, first_sight_dedup, seen_and_new, upsert_update_policy, mark_failed, flag_fetched, outlet_refresh,
     run_judgement, backfill_published, stale_feeds, keep_first_link, longest_title_per_url, canonical_url, distinct_canonical_urls, url_cache_key,
     page_hosts, cache_first, strip_trailing_clock, datetime_prefix, listing_datetime, feed_datetime, free_datetime, first_acceptable_time,
     epoch_seconds, title_tokens, title_search_topk, search_empty, token_postings, resegment, listing_links, pattern_listing, body_extract,
-    enrich_pages, outlet_offset_lookup, coverage_weight, baseline_relative, propagation_rank, originality_rate, simhash_prints, near_dup_pairs,
-    near_dup_clusters, framing_delta, stance_distribution, feed_audit,
+    outlet_offset_lookup, coverage_weight, baseline_relative, propagation_rank, originality_rate, simhash_prints, near_dup_pairs,
+    near_dup_clusters, framing_delta, stance_distribution, feed_audit, title_search_rank, article_body, article_times, enrich_outcomes,
+    enrich_counters, enrich_tables, island_listing, feed_entries, audit_groups, crawl_new_rows, crawl_run_log, crawl_outcome, charset_repair,
+    page_store, sql_functions, lenient_datetime, resolved_links, canonical_forms, shared_core, streamed_totals,
 )}
 
 

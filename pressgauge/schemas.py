@@ -57,3 +57,20 @@ def evolve(df: DataFrame, schema: T.StructType) -> DataFrame:
 def violations(df: DataFrame, parent: DataFrame, key: str, parent_key: str) -> DataFrame:
     """Rows whose foreign key has no parent (a data-quality check; Spark enforces none)."""
     return df.join(parent.select(F.col(parent_key).alias(key)).distinct(), key, "left_anti").filter(F.col(key).isNotNull())
+
+
+#: Ordered steps of the stored tables: (name, table, SQL value of each column that a row lacks).
+MIGRATIONS = (("001_daily_totals_completeness", "outlet_daily_totals", {"complete": "false", "computed_at": "cast(null as timestamp)"}),)
+
+
+def migrate(table: str, df: DataFrame, done: set[str] = frozenset()) -> tuple[DataFrame, list[str]]:
+    """``df`` after the steps of ``table`` that are not in ``done``, in order of their names, and those names.
+
+    A column that is there already stays, so a step that ran before changes nothing; ``evolve`` to the schema comes last.
+    """
+    ran = []
+    for name, of, adds in sorted(MIGRATIONS, key=lambda m: m[0]):
+        if of == table and name not in done:
+            df = df.withColumns({c: F.expr(v) for c, v in adds.items() if c not in df.columns})
+            ran.append(name)
+    return evolve(df, TABLES[table]), ran

@@ -15,25 +15,45 @@ from ..functions.text import split_datetime_prefix, strip_trailing_clock
 from ..functions.times import epoch, feed_datetime
 from ..functions.urls import resolve, strip
 
-_ITEM = r"(?is)<(?:item|entry)[\s>].*?</(?:item|entry)>"
+_ITEM = r"(?is)<(?:\w+:)?(?:item|entry)[\s>].*?</(?:\w+:)?(?:item|entry)>"
+# Entities of XML and those that headlines use most.
+_NAMED = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "hellip": "…", "mdash": "—", "ndash": "–", "lsquo": "‘", "rsquo": "’",
+    "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "bull": "•", "middot": "·", "copy": "©", "reg": "®", "trade": "™", "euro": "€", "pound": "£",
+}
 
 
 def _xml_text(c):
-    t = F.regexp_replace(c, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1")
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(a), F.lit(b))
-    return strip(t)
+    """Character data: CDATA sections as they are, entities between them (numbers, and names that are known) decoded once."""
+    pieces = F.regexp_extract_all(c, F.lit(r"(?s)<!\[CDATA\[.*?\]\]>|&#?\w+;|[^&<]+|[&<]"), F.lit(0))
+    names = F.create_map(*[F.lit(x) for kv in _NAMED.items() for x in kv])
+
+    def number(code, base):
+        text = F.decode(F.unhex(F.lpad(F.conv(code, base, 16), 8, "0")), "UTF-32")
+        value = F.conv(code, base, 10).try_cast("long")
+        return F.when(value.between(1, 0x10FFFF) & ~value.between(0xD800, 0xDFFF), text)
+
+    def plain(p):
+        known = (
+            F.when(p.startswith("<![CDATA["), F.substring(p, F.lit(10), F.length(p) - 12))
+            .when(p.rlike("^&#[0-9]{1,7};$"), number(F.regexp_extract(p, "([0-9]+)", 1), 10))
+            .when(p.rlike("^&#[xX][0-9A-Fa-f]{1,6};$"), number(F.regexp_extract(p, "[xX]([0-9A-Fa-f]+)", 1), 16))
+            .when(p.rlike("^&[A-Za-z]+;$"), F.try_element_at(names, F.regexp_extract(p, "([A-Za-z]+)", 1)))
+        )
+        return F.coalesce(known, p)
+
+    return strip(F.array_join(F.transform(pieces, plain), ""))
 
 
 def _tag(item, *names):
-    found = [F.regexp_extract(item, rf"(?is)<{n}(?:\s[^>]*)?>(.*?)</{n}>", 1) for n in names]
+    found = [F.regexp_extract(item, rf"(?is)<(?:atom:|rss:)?{n}(?:\s[^>]*)?>(.*?)</(?:atom:|rss:)?{n}>", 1) for n in names]
     return F.coalesce(*[F.when(x != "", _xml_text(x)) for x in found], F.lit(""))
 
 
 def feed_entries(feeds: DataFrame) -> DataFrame:
     """Every entry of RSS and Atom documents: outlet, feed_pos, entry_pos, link, title, published_at."""
     e = feeds.select("outlet", "feed_pos", F.posexplode(F.regexp_extract_all("body", F.lit(_ITEM), F.lit(0))).alias("entry_pos", "item"))
-    atom = _xml_text(F.regexp_extract("item", r"(?is)<link\s[^>]*href=[\"']([^\"']*)", 1))
+    atom = _xml_text(F.regexp_extract("item", r"(?is)<(?:atom:)?link\s[^>]*href=[\"']([^\"']*)", 1))
     link = _tag(F.col("item"), "link")
     return e.select(
         "outlet", "feed_pos", "entry_pos", F.when(link != "", link).otherwise(atom).alias("link"), _tag(F.col("item"), "title").alias("title"),
@@ -68,6 +88,23 @@ def feed_audit(feeds: DataFrame) -> DataFrame:
     return feeds.select("outlet", "feed_pos").join(counts, ["outlet", "feed_pos"], "left").fillna(zero)
 
 
+def feed_failures(feeds: DataFrame) -> DataFrame:
+    """Outlets with a feed that did not arrive (no body): outlet, error naming how many and which. The other feeds count."""
+    down = feeds.groupBy("outlet").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("body").isNull(), F.col("feed_pos")))).alias("failed"))
+    text = F.concat(F.size("failed").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" feeds failed: "), F.array_join(F.transform("failed", lambda x: x.cast("string")), ", "))
+    return down.filter(F.size("failed") > 0).select("outlet", text.alias("error"))
+
+
+def audit_groups(audit: DataFrame) -> DataFrame:
+    """One row per group of a feed audit: usable feeds, outlets that need a page reader, and usable ones without dates.
+
+    An outlet is usable where one of its feeds has a usable entry. Names are joined in order (outlets are configured by hand).
+    """
+    o = audit.groupBy("outlet").agg((F.sum("usable") > 0).alias("rss"), (F.sum("with_dates") > 0).alias("dated"))
+    o = o.select("outlet", F.explode(F.filter(F.array(F.when(F.col("rss"), "rss").otherwise("html"), F.when(F.col("rss") & ~F.col("dated"), "nodates")), lambda g: g.isNotNull())).alias("group"))
+    return o.groupBy("group").agg(F.count("*").alias("outlets"), F.array_join(F.sort_array(F.collect_list("outlet")), ",").alias("names"))
+
+
 def stale_feeds(entries: DataFrame, as_of, days: int = 4, keys: tuple[str, ...] = ("outlet", "feed_pos")) -> DataFrame:
     """Newest publish time of each feed and whether it is stale. A warning only: rows stay."""
     newest = entries.groupBy(*keys).agg(F.max("published_at").alias("newest"))

@@ -36,11 +36,24 @@ def read_pages(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]+/[^/]+/[^/]+\.html\.gz)$", 1).alias("path"), gunzip("content").alias("html"))
 
 
+def _decoder(charset: str):
+    @F.pandas_udf(T.StringType())
+    def run(data: pd.Series) -> pd.Series:
+        return data.map(lambda x: bytes(x).decode(charset, "replace"), na_action="ignore")
+
+    return run
+
+
 def decoded(files: DataFrame, charset: str = "UTF-8", fallback: str = "GBK") -> DataFrame:
-    """Bytes as text; where the declared charset is absent or Latin-1, UTF-8 if it is valid, else ``fallback``."""
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", fallback))
-    declared = F.lower(F.lit(charset))
-    return files.withColumn("text", F.when(declared.isin("iso-8859-1", "utf-8", ""), text).otherwise(F.decode("content", charset)))
+    """Bytes as text; where the declared charset is absent or Latin-1, UTF-8 if it is valid, else ``fallback``.
+
+    The JVM functions know only a few charsets, so the others are decoded by an Arrow UDF; bad bytes become U+FFFD.
+    """
+    if charset.lower() not in ("", "iso-8859-1", "utf-8"):
+        return files.withColumn("text", _decoder(charset)("content"))
+    utf8 = F.is_valid_utf8(F.col("content").cast("string"))
+    other = _decoder(fallback)(F.when(~utf8, F.col("content")))  # nothing is sent where UTF-8 is valid
+    return files.withColumn("text", F.when(utf8, F.col("content").cast("string")).otherwise(other))
 
 
 def write_pages(pages: DataFrame, root: str) -> None:

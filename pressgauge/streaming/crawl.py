@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.urls import canonicalize
-from ..operators.merge import insert_if_absent
+from ..operators import crawl as tier1
 
+_NEW = "id long, outlet string, url_canonical string, url_original string, title string, title_seg string, published_at timestamp, seen_at timestamp, body_fetched boolean"
 
-def ingest(stubs: DataFrame, table_path: str, runs_path: str, checkpoint: str, available_now: bool = True, interval: str = "20 minutes") -> StreamingQuery:
-    """stubs(outlet, url_original, title, published_at, seen_at) into the index, first sight wins, with a run-log row per outlet.
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def ingest(stubs: DataFrame, table_path: str, runs_path: str, checkpoint: str, available_now: bool = True, interval: str = "20 minutes", terms: tuple[str, ...] = ()) -> StreamingQuery:
+    """stubs(outlet, url_original, title, published_at, seen_at[, error]) into the index, first sight wins, with a run-log row
+    per outlet. A row with an ``error`` stands for a source that failed: the rest is kept and the outlet's run is not ok.
 
     The horizon of the deduplication is unbounded and exact: an anti join against the table, not a watermark. Both sinks
     are partitioned by batch_id and overwritten dynamically, so a batch that is run again replaces itself.
@@ -19,22 +26,15 @@ def ingest(stubs: DataFrame, table_path: str, runs_path: str, checkpoint: str, a
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.withColumn("url_canonical", canonicalize(F.col("url_original"))).filter(F.col("url_canonical").isNotNull())
-        try:
-            old = spark.read.parquet(table_path).filter(F.col("batch_id") != batch_id)
-        except Exception as e:  # noqa: BLE001  no table yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            old = rows.limit(0)
-        keys = ["outlet", "url_canonical"]
-        new = insert_if_absent(old, rows, keys, ["seen_at", "url_original"])
+        batch = batch if "error" in batch.columns else batch.withColumn("error", F.lit(None).cast("string"))
+        rows, failed = batch.filter("error is null").drop("error"), batch.filter("error is not null").select("outlet", "error")
+        schema = f"{_NEW}, batch_id bigint"
+        old = spark.read.schema(schema).parquet(table_path).filter(F.col("batch_id") != batch_id) if _exists(spark, table_path) else spark.createDataFrame([], schema)
         put = {"partitionOverwriteMode": "dynamic"}
-        new.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").options(**put).partitionBy("batch_id").parquet(table_path)
-        written = spark.read.schema(f"outlet string, batch_id bigint").parquet(table_path).filter(F.col("batch_id") == batch_id)
-        log = batch.groupBy("outlet").agg(F.count("*").alias("items_seen")).join(written.groupBy("outlet").agg(F.count("*").alias("items_new")), "outlet", "left")
-        log.fillna({"items_new": 0}).withColumn("ok", F.col("items_seen") > 0).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").options(**put).partitionBy(
-            "batch_id"
-        ).parquet(runs_path)
+        tier1.ingest(rows, old, terms).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").options(**put).partitionBy("batch_id").parquet(table_path)
+        written = spark.read.schema(schema).parquet(table_path).filter(F.col("batch_id") == batch_id)
+        log = tier1.log(batch.select("outlet"), rows, written, failed)
+        log.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").options(**put).partitionBy("batch_id").parquet(runs_path)
 
     w = stubs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)).start()

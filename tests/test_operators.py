@@ -72,10 +72,10 @@ def test_feeds(spark):
 
 
 def test_listings(spark):
-    html = "<a href='/news/1'></a><a href='/news/1'>2026/08/16 12:00:00Headline 14:15</a><a href='/other/9'>no</a><a href='/news/2'></a>"
+    html = "<a href='/news/1'></a><a href='/news/1'>2025/03/09 18:30:00Big story 7:05</a><a href='/other/9'>no</a><a href='/news/2'></a>"
     pages = spark.createDataFrame([("o", html)], "outlet string, html string")
     got = L.pattern_stubs(pages, "https://l.example/", r"/news/\d+", r"^(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2})", True).collect()
-    assert [(r.url_original, r.title, r.published_at is not None) for r in got] == [("https://l.example/news/1", "Headline", True)]
+    assert [(r.url_original, r.title, r.published_at is not None) for r in got] == [("https://l.example/news/1", "Big story", True)]
     props = '{"initialArticles":[0,{"data":[1,[[0,{"articleId":[0,5],"title":[0,"T"],"publishedAt":[0,1700000000]}],[0,{"title":[0,""]}]]]}]}'.replace('"', "&quot;")
     isl = spark.createDataFrame([("o", f'<astro-island component-url="/RealTimeList.js" props="{props}">'), ("p", "<p>")], "outlet string, html string")
     rows = {r.outlet: r for r in L.island_stubs(isl, "https://l.example/now").collect()}
@@ -122,3 +122,25 @@ def test_clusters_and_schema(spark):
     assert {r.node: r.component for r in C.components(nodes, links).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 8: 8, 9: 8}
     once = schemas.evolve(nodes.withColumnRenamed("node", "id"), schemas.ARTICLES)
     assert schemas.evolve(once, schemas.ARTICLES).schema.names == schemas.ARTICLES.names
+
+
+def test_feed_text_and_failures(spark):
+    item = "<item><title>It&#8217;s <![CDATA[a < b &amp;]]> &#x4E2D;&nbsp;&bogus; &#99999999; &</title><link>https://x/1</link></item>"
+    atom = "<atom:feed><atom:entry><atom:title>N</atom:title><atom:link href='https://x/2'/><media:title>no</media:title></atom:entry></atom:feed>"
+    feeds = spark.createDataFrame([("o", 0, item), ("o", 1, None), ("p", 0, atom), ("q", 0, None)], "outlet string, feed_pos int, body string")
+    assert sorted((r.outlet, r.title) for r in L.feed_entries(feeds).collect()) == [("o", "It’s a < b &amp; 中\u00a0&bogus; &#99999999; &"), ("p", "N")]
+    assert {r.outlet: r.error for r in L.feed_failures(feeds).collect()} == {"o": "1 of 2 feeds failed: 1", "q": "1 of 1 feeds failed: 0"}
+
+
+def test_migrations(spark):
+    old = spark.createDataFrame([("o", dt.date(2024, 1, 1), 5)], "outlet string, day date, total_articles int")
+    new, ran = schemas.migrate("outlet_daily_totals", old)
+    assert ran == ["001_daily_totals_completeness"] and new.first().complete is False
+    again, ran = schemas.migrate("outlet_daily_totals", new.withColumn("complete", F.lit(True)), set(ran))
+    assert ran == [] and again.first().complete is True
+
+
+def test_coverage_with_gaps_in_days(spark):
+    """A day without runs: the gap over it is charged to the day of the run that ends it."""
+    runs = every20(D1, at(D1, 23, 40)) + [at(D1, 24 * 2 + 1)]
+    assert completeness(spark, runs, [at(D1, 12), at(D1, 60)]) == {1: (1, True), 3: (1, False)}
