@@ -7,12 +7,16 @@ Word counts cover the whole corpus. The network starts from a short fit on a bou
 over all its documents from there, and the tasks' parameters are averaged by tokens, so training covers every token and
 what is gathered grows with the input. Words outside the table share hashed entries; ``score_all`` splits the probability of
 such an entry among its words by their counts in all texts.
+
+One rule finds words everywhere: runs of ``\\w`` of the lower-case text. Null and empty texts have no tokens and a
+log-likelihood of 0; repeated rows and null ids are scored each; ties in the vocabulary go by word; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, summed, vector_rows
 
 #: Words with an entry, hashed entries for all others, words a class, embedding and hidden sizes, words on each side.
 VOCAB, HASHED, PER_CLASS, DIM, HIDDEN, SIDE = 4000, 96, 64, 16, 32, 2
@@ -30,17 +34,28 @@ SIZE = VOCAB + HASHED  # a multiple of PER_CLASS
 CLASSES = SIZE // PER_CLASS
 PAD = SIZE
 _WORD = re.compile(r"\w+")
+#: Different words that a task counts before it sends them on.
+HELD = 400_000
+
+
+def words_of(text: str | None) -> list[str]:
+    return _WORD.findall((text or "").lower())
 
 
 class Vocabulary:
-    def __init__(self, words: list[str]):
+    """Entries of the most frequent words; ``counts`` (word, n) of all words stays on the driver's side of a broadcast."""
+
+    def __init__(self, words: list[str], counts: DataFrame | None = None):
         self.ids = {w: i for i, w in enumerate(words)}
-        self.base = len(words)
+        self.counts = counts
+
+    def __getstate__(self):
+        return {"ids": self.ids, "counts": None}
 
     def __call__(self, text: str | None, rare: list[str] | None = None) -> np.ndarray:
         """Entries of the words of a text; words that share a hashed entry are added to ``rare``."""
         get, out = self.ids.get, []
-        for w in _WORD.findall((text or "").lower()):
+        for w in words_of(text):
             i = get(w)
             if i is None:
                 i = VOCAB + zlib.crc32(w.encode()) % HASHED
@@ -184,70 +199,89 @@ class Network:
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Corpus counts of lower-case words, combined on the map side."""
-    words = F.explode(F.split(F.lower(text_col), r"(?U)[^\w]+")).alias("word")
-    return docs.select(words).filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    """Corpus counts of words, combined within a task before anything is sent."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+
+        held: Counter = Counter()
+        for b in batches:
+            for t in b.column(0):
+                held.update(words_of(t.as_py()))
+                if len(held) >= HELD:
+                    yield rows()
+                    held = Counter()
+        yield rows()
+
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _entry(word):
+    return F.pmod(F.crc32(word.cast("binary")), F.lit(HASHED)).cast("int")
+
+
+def most_frequent(counts: DataFrame, k: int) -> list:
+    """The ``k`` words of highest count, ties by word. Levels of counts (32 a power of two) are counted first, so few more than
+    ``k`` words reach the sort, however many tasks hold the counts."""
+    level = F.floor(F.log2("n") * 32)
+    seen, least = 0, None
+    for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():
+        seen, least = seen + r.words, r.level
+        if seen >= k:
+            break
+    return counts.filter(level >= least).orderBy(F.desc("n"), "word").limit(k).collect() if least is not None else []
 
 
 def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, np.ndarray]:
     """The VOCAB most frequent words (ties by word) and the counts of all entries, hashed ones included."""
-    counts = saved(word_counts(docs, text_col), "words")  # read twice below
-    ranked = counts.withColumn("h", F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(HASHED)).cast("int"))
-    top = ranked.orderBy(F.desc("n"), "word").limit(VOCAB).collect()
-    v = Vocabulary([r.word for r in top])
-    total = docs.sparkSession.createDataFrame([(r.h, -r.n) for r in top] or [(0, 0)], "h int, n long").unionByName(ranked.select("h", "n")).groupBy("h").agg(F.sum("n").alias("n")).collect()
+    counts = saved(word_counts(docs, text_col), "words")
+    top = most_frequent(counts, VOCAB)
     out = np.zeros(SIZE)
     out[: len(top)] = [r.n for r in top]
-    for r in total:
-        out[VOCAB + r.h] = max(r.n, 0)
-    return v, out
+    for r in counts.groupBy(_entry(F.col("word")).alias("h")).agg(F.sum("n").alias("n")).collect():
+        out[VOCAB + r.h] = r.n
+    for r in top:
+        out[VOCAB + zlib.crc32(r.word.encode()) % HASHED] -= r.n
+    return Vocabulary([r.word for r in top], counts), out
 
 
-_CHUNK = 16_384
+def runs_of(text: str | None) -> list[str]:
+    """The whole text's words, or RUNS runs of RUN words spread evenly over all of it where it has more than that."""
+    w = words_of(text)
+    return [" ".join(w)] if len(w) <= RUNS * RUN else [" ".join(w[i * len(w) // RUNS :][:RUN]) for i in range(RUNS)]
 
 
-def _runs(text_col: str):
-    """The whole text's words, or RUNS runs of RUN words spread evenly over all of it where it has more than that."""
-    w = F.split(F.lower(text_col), r"(?U)[^\w]+")
-    spread = F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda i: F.slice(w, F.floor(i * F.size(w) / RUNS).cast("int") + 1, F.lit(RUN)))
-    return F.when(F.size(w) <= RUNS * RUN, F.array(w)).otherwise(spread)
+def _sample(docs: DataFrame, text_col: str, id_col: str) -> list[str]:
+    """Runs of words of WARM_DOCS documents, first in order of a hash. Hashes alone are ranked; then those rows are read."""
+    key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"))
+    keyed = docs.filter(F.length(text_col) > 0).select(key.alias("key"), F.col(text_col).cast("string").alias("text"))
+    chosen = keyed.select("key").distinct().orderBy("key").limit(WARM_DOCS)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([runs_of(t.as_py()) for t in b.column(1)], pa.list_(pa.string()))], names=["key", "runs"])
+
+    rows = keyed.join(F.broadcast(chosen), "key").dropDuplicates(["key"]).mapInArrow(run, "key long, runs array<string>").collect()
+    return [x for r in sorted(rows, key=lambda r: r.key) for x in r.runs]
 
 
 def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[Vocabulary, Network]:
-    """Vocabulary and network of a corpus. Parameters travel in chunks, are averaged on executors, and arrive once."""
-    spark = docs.sparkSession
+    """Vocabulary and network of a corpus. Parameters are added up in a tree on executors, and their mean arrives once."""
     vocab, counts = vocabulary(docs, text_col)
-    sample = docs.filter(F.length(text_col) > 0).orderBy(F.xxhash64(id_col, text_col), id_col).limit(WARM_DOCS)
     warm = Network.start(counts)
-    warm.train((vocab(" ".join(run)) for r in sample.select(_runs(text_col).alias("runs")).collect() for run in r.runs), 4)
-    shared = spark.sparkContext.broadcast((vocab, warm))  # a fixed size
+    warm.train(map(vocab, _sample(docs, text_col, id_col)), 4)
+    shared = docs.sparkSession.sparkContext.broadcast((vocab, warm))  # a fixed size
 
     def local(batches):
         v, net = shared.value
         net = net.like(net.flat())
         n = net.train(v(t.as_py()) for b in batches for t in b.column(0))
         if n:
-            flat = net.flat()
-            parts = [flat[i : i + _CHUNK] for i in range(0, len(flat), _CHUNK)]
-            yield pa.RecordBatch.from_pydict({"chunk": list(range(len(parts))), "n": [n] * len(parts), "v": [x.tobytes() for x in parts]}, schema=pa.schema([("chunk", pa.int32()), ("n", pa.int64()), ("v", pa.binary())]))
+            yield vector_rows(net.flat().astype(np.float64) * n, n)
 
-    def mean(batches):
-        sums: dict[int, list] = {}
-        for b in batches:
-            for c, n, v in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                s = sums.setdefault(c, [0, 0.0])
-                s[0] += n
-                s[1] = s[1] + n * np.frombuffer(v, np.float32).astype(np.float64)
-        if sums:
-            yield pa.RecordBatch.from_pydict({"chunk": list(sums), "n": [s[0] for s in sums.values()], "v": [np.asarray(s[1]).tobytes() for s in sums.values()]}, schema=pa.schema([("chunk", pa.int32()), ("n", pa.int64()), ("v", pa.binary())]))
-
-    chunks = -(-len(warm.flat()) // _CHUNK)
-    trained = docs.select(text_col).mapInArrow(local, "chunk int, n long, v binary")
-    rows = trained.repartition(chunks, "chunk").mapInArrow(mean, "chunk int, n long, v binary").collect()
-    if not rows:
-        return vocab, warm
-    flat = np.concatenate([np.frombuffer(r.v, np.float64) / r.n for r in sorted(rows, key=lambda r: r.chunk)])
-    return vocab, warm.like(flat)
+    total, n = summed(docs.select(F.col(text_col).cast("string")), len(warm.flat()), local)
+    return vocab, warm if total is None else warm.like(total / n)
 
 
 def score(docs: DataFrame, vocab: Vocabulary, net: Network, text_col: str = "text", id_col: str = "doc_id", with_rare: bool = False) -> DataFrame:
@@ -291,17 +325,21 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Network, text_col: str = "tex
 
 
 def score_all(docs: DataFrame, vocab: Vocabulary, net: Network, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """As ``score``, with the probability of a hashed entry split among its words by their counts in all of ``docs``.
+    """As ``score``, with the probability of a hashed entry split among its words by their counts in the training texts.
 
     log(count of the word / count of its entry) is added for every token of a hashed entry, so words are told apart
-    whatever their number. Counts are made and joined on executors; rows meet by a number of their own.
+    whatever their number; a word that training never saw counts as one more word seen once. Words and counts are joined on
+    executors; rows meet by a number of their own.
     """
     base = saved(score(docs, vocab, net, text_col, id_col, True).withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = base.select("row", F.explode("rare").alias("word"))
-    words = saved(rare.groupBy("word").agg(F.count("*").alias("n")).withColumn("h", F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(HASHED))), "rare")
-    entries = words.groupBy("h").agg(F.sum("n").alias("in_entry"))  # HASHED rows
-    share = words.join(F.broadcast(entries), "h").select("word", F.log(F.col("n") / F.col("in_entry")).alias("share"))
-    within = rare.join(share, "word").groupBy("row").agg(F.sum("share").alias("within"))
+    tokens = base.select("row", F.explode("rare").alias("word"))
+    top = docs.sparkSession.createDataFrame([(w,) for w in vocab.ids], "word string")  # VOCAB rows at most
+    words = vocab.counts.join(F.broadcast(top), "word", "left_anti").withColumn("h", _entry(F.col("word")))
+    entries = F.broadcast(words.groupBy("h").agg(F.sum("n").alias("in_entry")))  # HASHED rows
+    share = words.join(entries, "h").select("word", F.log(F.col("n") / F.col("in_entry")).alias("share"))
+    new = tokens.join(share, "word", "left").select("row", "word", "share")
+    unseen = F.coalesce(F.col("share"), -F.log(F.coalesce("in_entry", F.lit(0)) + 1))
+    within = new.withColumn("h", _entry(F.col("word"))).join(entries, "h", "left").groupBy("row").agg(F.sum(unseen).alias("within"))
     total = F.col("log_likelihood") + F.coalesce("within", F.lit(0.0))
     out = base.drop("rare").join(within, "row", "left")
     return out.select("doc_id", "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_likelihood"))

@@ -58,3 +58,46 @@ def test_words_of_a_hashed_entry_are_told_apart(spark):
         want = a.log_likelihood + sum(np.log(n[w] / entry[lm.zlib.crc32(w.encode()) % lm.HASHED]) for w in (texts[a.doc_id] or "").split() if w[0] == "r")
         assert abs(b.log_likelihood - want) < 1e-6 * max(1, abs(want)) and (b.mean_log_likelihood is None) == (a.n_tokens == 0)
     assert lm.score_all(df.limit(0), vocab, net).count() == 0
+
+
+def test_probabilities_and_gradients_against_plain_formulas(monkeypatch):
+    for name, value in {"PER_CLASS": 4, "CLASSES": 3, "SIZE": 12, "PAD": 12, "DIM": 3, "HIDDEN": 5}.items():
+        monkeypatch.setattr(lm, name, value)
+    rng = np.random.default_rng(0)
+    net = lm.Network.start(np.arange(12))
+    net.p = {k: v.astype(np.float64) + rng.normal(0, 0.3, v.shape) for k, v in net.p.items()}
+    tokens, ctx = rng.integers(0, 12, 40), rng.integers(0, 13, (40, 4))
+
+    def plain(p):
+        out = []
+        for t, c in zip(tokens, ctx, strict=True):
+            h = np.tanh(np.concatenate([p["emb"][i] for i in c]) @ p["w1"] + p["b1"])
+            k, w = divmod(int(t), 4)
+            first, second = h @ p["wc"] + p["bc"], h @ p["ww"][k] + p["bw"][k]
+            out.append(first[k] - np.log(np.exp(first).sum()) + second[w] - np.log(np.exp(second).sum()))
+        return np.array(out)
+
+    assert np.allclose(net.log_probs(tokens, ctx), plain(net.p), atol=1e-5)
+    before = {k: v.copy() for k, v in net.p.items()}
+    net.step(tokens, ctx, {k: np.full_like(v, 1e24) for k, v in net.p.items()}, rate=1e12)  # the update is the gradient
+    for k, v in before.items():
+        for i in rng.choice(v.size, min(v.size, 12), replace=False):
+            sides = []
+            for e in (1e-5, -1e-5):
+                moved = {**before, k: v.copy()}
+                moved[k].flat[i] += e
+                sides.append(-plain(moved).mean())
+            assert abs((sides[0] - sides[1]) / 2e-5 - (v.flat[i] - net.p[k].flat[i])) < 1e-4, k
+
+
+def test_one_word_rule_and_odd_columns(spark):
+    texts = ["हिन्दी भाषा हिन्दी", "naïve café ΣΑΣ", "a_b 1 2", None]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, word string")
+    counts = {r.word: r.n for r in lm.word_counts(df).collect()}
+    vocab, _ = lm.train(df)
+    assert set(counts) == set(vocab.ids) and all(vocab(t).max(initial=0) < lm.VOCAB for t in texts)
+    long = " ".join(f"w{i}" for i in range(50_000))
+    assert [len(r.split()) for r in lm.runs_of(long)] == [lm.RUN] * lm.RUNS and lm.runs_of(long)[-1].startswith("w47500 ")
+    counts = spark.createDataFrame([(f"w{i:03}", 1 + i % 7) for i in range(100)], "word string, n long")
+    want = sorted(((f"w{i:03}", 1 + i % 7) for i in range(100)), key=lambda r: (-r[1], r[0]))
+    assert [tuple(r) for r in lm.most_frequent(counts, 30)] == want[:30] and len(lm.most_frequent(counts, 500)) == 100
