@@ -45,7 +45,7 @@ def hot_keys(left: DataFrame, key: str, rows: int) -> DataFrame:
     return saved(counts.filter((F.col("__n") >= max(rows * HOT, 2)) & F.col(key).isNotNull()).select(key), "hot")
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, key: str | list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
     """``left`` joined with ``right`` (at most one row a key); ``hot_keys`` meet by broadcast, so no task gets a whole hot group."""
     few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
     many = left.join(F.broadcast(hot), key, "left_semi").join(few, key, how)
