@@ -213,17 +213,18 @@ class _Block:
         return low / (self.mass + w.sum(dtype=np.float64) - low)
 
 
-def remaining(e: DataFrame, tried: DataFrame | None, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """Links (a, b) among all pairs of nodes that share a bucket and are in two components.
+def remaining(e: DataFrame, crowded: DataFrame, tried: DataFrame | None, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """Links (a, b) among all pairs of nodes that share a bucket and are in two components; ``crowded`` are the hot buckets.
 
     A crowded bucket is dealt in groups, its largest component apart from the rest, and two groups meet in one block; two
     groups of the largest component never do. A pair is compared in the first band it shares, unless the task has already
     joined its components.
     """
     keys = ["band", "value"]
+    e = e.drop("main")
     parts = e.groupBy(*keys, "component").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts"))
     parts = parts.filter("parts > 1").select(*keys, "n", F.col("m.component").alias("main"), *[F.ceil(c / GROUP).cast("int").alias(k) for k, c in (("rest_groups", F.col("n") - F.col("m.n")), ("main_groups", F.col("m.n")))])
-    e = saved(e.join(parts, keys), "apart")
+    e = saved(hot_join(e, parts, keys, crowded), "apart")
 
     few = e.filter(F.col("n") <= FEW).select(*keys, "node", "component")
     one, two = few.select(*keys, F.col("node").alias("a"), F.col("component").alias("ca")), few.select(*keys, F.col("node").alias("b"), F.col("component").alias("cb"))
@@ -318,11 +319,13 @@ def members(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
         """Entries, with components, of the buckets that hold more than one; once whole, a bucket stays whole."""
         e = entries.withColumn("component", F.col("node")) if found is None else entries.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         e = saved(e, "labelled")
-        main = e.groupBy(*keys).agg(F.min("component").alias("main"), F.max("component").alias("other")).filter(F.col("main") < F.col("other")).drop("other")
-        out = saved(e.join(main, keys), "mixed")
-        released(e)
-        used.append(out)
-        return out
+        main = e.groupBy(*keys).agg(F.min("component").alias("main"), F.max("component").alias("other"), F.count("*").alias("n")).filter(F.col("main") < F.col("other"))
+        main = saved(main.select(*keys, "main", "n"), "main")
+        crowded = saved(main.filter(F.col("n") >= F.lit(max(e.count() / 1000, 2))).select(*keys), "crowded")  # a thousand at most
+        out = saved(hot_join(e, main.drop("n"), keys, crowded), "mixed")
+        released(e, main)
+        used.extend((out, crowded))
+        return out, crowded
 
     def joined():
         out = saved(components(links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))), links), "components")
@@ -330,12 +333,13 @@ def members(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
         return out
 
     for leaders in ROUNDS:
-        e = mixed()
+        e, crowded = mixed()
         entries = e.drop("component", "main")
         # Leaders come from one component of the bucket, so a pair always joins two components.
         picks = [F.min(F.struct(F.xxhash64("node", F.lit(j)), F.col("node"))).alias(f"l{j}") for j in range(leaders)]
         lead = e.filter(F.col("component") == F.col("main")).groupBy(*keys).agg(*picks).select(*keys, F.array_distinct(F.array(*[f"l{j}.node" for j in range(leaders)])).alias("leads"))
-        pairs = e.filter(F.col("component") != F.col("main")).join(lead, keys).select(F.explode("leads").alias("a"), F.col("node").alias("b")).distinct()
+        pairs = e.filter(F.col("component") != F.col("main"))
+        pairs = hot_join(pairs, lead, keys, crowded).select(F.explode("leads").alias("a"), F.col("node").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs")
@@ -346,7 +350,7 @@ def members(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             found = joined()
-    rest = saved(remaining(mixed().drop("main"), tried, texts, idf, threshold), "links")
+    rest = saved(remaining(*mixed(), tried, texts, idf, threshold), "links")
     used.append(rest)
     if not rest.isEmpty():
         links = rest if links is None else links.unionByName(rest)

@@ -1,13 +1,22 @@
-"""Words and five-word shingles of a batch of texts as 64-bit hashes, without a Python loop over words."""
+"""Words and five-word shingles of a batch of texts as 64-bit hashes, without a Python loop over words.
+
+A word is a run of letters, digits, marks and underscores of the lower-case text, so blanks, quotes and dashes of any kind
+separate. Scripts that are written without blanks have no such runs: there each character is a word.
+"""
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 
 WORDS = 5
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_TABLE = np.zeros(256, bool)
-_TABLE[[*range(48, 58), *range(97, 123), 95, *range(128, 256)]] = True  # ASCII letters and digits, and all other scripts
+#: Code points whose class is looked up; those beyond (rare Han, private use) are words of one character.
+_KNOWN = 0x30000
+# First and last code points of scripts written without blanks (Thai to Tibetan, Myanmar, Khmer, kana, Han).
+_UNSPACED = ((0xE00, 0xFFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FFFF))
+_CLASS: list[np.ndarray] = []
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -35,18 +44,30 @@ def prefix_hash(b: np.ndarray) -> np.ndarray:
     return out
 
 
+def classes_of(a: np.ndarray) -> np.ndarray:
+    """0 for separators, 1 for characters of spaced words, 2 for words of one character."""
+    if not _CLASS:
+        table = np.array([unicodedata.category(chr(i))[0] in "LNM" or i == 95 for i in range(_KNOWN)], np.uint8)
+        for lo, hi in _UNSPACED:
+            table[lo : hi + 1] *= 2
+        _CLASS.append(np.append(table, np.uint8(2)))
+    return _CLASS[0][np.minimum(a, _KNOWN)]
+
+
 def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(document number, hash) of every lower-case word in order."""
-    raw = [(t or "").lower().encode("utf-8", "replace") for t in texts]
-    b = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    is_word = _TABLE[b]
-    edge = np.flatnonzero(np.diff(is_word.astype(np.int8), prepend=0))
-    start, end = edge[::2], edge[1::2]
+    low = [(t or "").lower() for t in texts]
+    a = np.frombuffer(("\n".join(low) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = classes_of(a)
+    before = np.concatenate([[0], kind[:-1]])
+    start = np.flatnonzero((kind == 2) | ((kind == 1) & (before != 1)))
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    p = prefix_hash(b)
-    h = mix((p[end] - p[start]) * powers(len(b))[1][start] + (end - start).astype(np.uint64))
-    doc = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), start, side="right")
+    after = np.concatenate([kind[1:], [0]])
+    end = np.flatnonzero((kind == 2) | ((kind == 1) & (after != 1))) + 1
+    p = prefix_hash(a)
+    h = mix((p[end] - p[start]) * powers(len(a))[1][start] + (end - start).astype(np.uint64))
+    doc = np.searchsorted(np.cumsum([len(t) + 1 for t in low]), start, side="right")
     return doc, h
 
 

@@ -104,7 +104,9 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 10, rate: float = 0.
             yield u
 
     gain = GAIN * importance(buckets(), y)
-    held = {i: (u, v * gain[u]) for i, (u, v) in held.items()}
+    known.clear()
+    for u, v in held.values():
+        v *= gain[u]
 
     def weighted(i):
         if i in held:

@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pressgauge.llm import minhash as M
+from pressgauge.llm import shingles as S
 
 
 def brute(docs, idf, threshold=0.8):
@@ -89,3 +90,38 @@ def test_samples_agree_as_often_as_the_similarity():
     a, b = M.signatures(1, np.zeros(300, int), s, wa, 3000), M.signatures(1, np.zeros(300, int), s, wb, 3000)
     want = M.jaccard((s, wa), (s, wb))
     assert abs((a == b).mean() - want) < 0.03
+
+
+def test_words_of_all_scripts(spark):
+    split = lambda t: len(S.words([t])[1])
+    same = lambda a, b: np.array_equal(S.words([a])[1], S.words([b])[1])
+    assert [split(t) for t in ("a b", "a\u00a0b", "“a”—b", "हिन्दी भाषा", "新聞x y", "ก ข", "", "…", "e\u0301a")] == [2, 2, 2, 2, 4, 2, 0, 0, 1]
+    assert same("It’s “so” here", "it's \"so\"\u00a0here") and not same("ab", "ba") and not same("新聞", "聞新")
+    rng = random.Random(1)
+    long = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(3000))
+    prose = " ".join("".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(4000))
+    texts = [long, long[:1500] + "新" + long[1501:], long[::-1], prose, prose.replace(" ", "\u00a0"), prose[::-1]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.class_id for r in sorted(M.classes(df).collect())] == [0, 0, 2, 3, 3, 5]
+
+
+def test_rows_that_share_an_id(spark):
+    a, b = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven")
+    df = spark.createDataFrame([(1, b), (5, a), (5, b), (5, a), (None, None)], "doc_id long, text string")
+    assert sorted(map(tuple, M.deduplicate(df).collect()), key=str) == [(1, b), (5, a), (None, None)]
+
+
+def test_a_crowded_bucket_of_unlike_texts_keeps_every_link(spark):
+    """A bucket beyond FEW members, most of them unlike, with pairs that only all-pairs comparison finds."""
+    rng = random.Random(9)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    shared = [rng.choice(vocab) for _ in range(150)]
+    docs = []
+    for _ in range(120):
+        own = [rng.choice(vocab) for _ in range(80)]
+        docs += [" ".join(shared + own), " ".join(shared + own[:-1] + [rng.choice(vocab)])]
+    docs = list(enumerate(docs))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute(docs, M.idf_table(*M.frequencies(df)))
+    got = {r.doc_id: r.class_id for r in M.classes(df).collect()}
+    assert len(set(want.values())) == 120 and got == want

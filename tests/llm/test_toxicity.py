@@ -45,3 +45,31 @@ def test_long_runs_count_to_their_end(spark, monkeypatch):
     monkeypatch.setattr(T, "HELD", 0)
     again = T.fit(bad + good, y)
     assert all(np.array_equal(a, b) for a, b in ((m.scores, again.scores), (m.bias, again.bias)))
+
+
+def test_scores_against_plain_sums_and_odd_columns(spark):
+    rng = np.random.default_rng(2)
+    m = T.Model(rng.normal(0, 1, T.BUCKETS).astype(np.float32), -0.5)
+    texts = ["Some plain words", "some plain words " * 3000, "x" * 400 + " y", "", None, "dup", "dup", "ÄÖ straße"]
+    df = spark.createDataFrame([(i if i != 6 else 5, t, 7.0) for i, t in enumerate(texts)], "doc_id long, text string, score double")
+
+    def plain(t):
+        means = []
+        for w in T._WORD.findall((t or "").lower()):
+            marked = f"<{w}>"
+            grams = [marked] + [marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)]
+            means.append(np.mean([m.scores[T.zlib.crc32(g.encode()) % T.BUCKETS] for g in grams]))
+        return 1 / (1 + np.exp(-(m.bias + (np.mean(means) if means else 0))))
+
+    got = T.score(df, m).collect()
+    assert T.score(df, m).columns == ["doc_id", "text", "score"] and len(got) == len(texts)
+    assert all(abs(r.score - plain(r.text)) < 1e-5 for r in got)
+    kept = T.score(df, m, out="__t")
+    assert kept.columns == ["doc_id", "text", "score", "__t"] and {r.score for r in kept.collect()} == {7.0}
+
+
+def test_every_ngram_has_a_vector_and_both_classes_count():
+    bad, good = ["stupid moron " + c for c in "abcd"] * 20, ["pleasant morning " + c for c in "abcd"] * 20
+    m = T.fit(bad + good, np.array([1] * 80 + [0] * 80))
+    word = lambda w: m.scores[T.subwords(w)]
+    assert (word("stupid") != 0).all() and word("stupid").mean() > 0 > word("pleasant").mean()
