@@ -5,16 +5,18 @@ that span at most e. Hits are counted in diagonal bands of width 2 (e + 1) that
 diagonals of any such region. Bands that reach the bound are aligned: semi-global edit distance within the band.
 
 Letters are compared in lower case and all white space is one blank, code point by code point, so spans are code points
-of the original text. Null or empty texts and items match nothing; items shorter than q must occur exactly. Ties between
-regions go to fewer edits, then further left; overlapping regions of one item give one row.
+of the original text. Null or empty texts and items match nothing; items shorter than q must occur exactly. Of an item's
+regions the one with fewest edits counts first, then the one further left; each further one lies clear of those before, until
+none is left. Null ids and repeated items and documents are reported each; other columns are ignored, or kept by ``clean``.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +24,13 @@ from pyspark.sql import functions as F
 Q, RATE = 12, 0.06
 BLOCK_CHARS, BLOCK_ITEMS = 8_000_000, 50_000
 _BITS = 22
+#: Code points below which letters have case (Adlam is the last such script), and q-gram hits held at once.
+_CASED, HELD = 0x1EA00, 2_000_000
 
 
 def _fold_table() -> np.ndarray:
-    t = np.arange(0x3100, dtype=np.uint32)
-    for i in range(0x3100):
+    t = np.arange(_CASED, dtype=np.uint32)
+    for i in range(_CASED):
         c = chr(i)
         low = c.lower()
         t[i] = 32 if c.isspace() else ord(low) if len(low) == 1 else i
@@ -93,30 +97,31 @@ class Items:
         self.bits = np.zeros(1 << _BITS, bool)
         self.bits[(self.keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
-    def hits(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text position, item, item offset) of every shared q-gram."""
+    def hits(self, a: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(text position, item, item offset) of every shared q-gram, in portions of about HELD."""
         g = grams(a, self.q)
         at = np.flatnonzero(self.bits[(g >> np.uint64(64 - _BITS)).astype(np.int64)]) if len(g) and len(self.keys) else np.zeros(0, np.int64)
         if not len(at):
-            return at, at, at
+            return
         k = np.searchsorted(self.keys, g[at])
         k[k == len(self.keys)] = 0
         fine = self.keys[k] == g[at]
         at, k = at[fine], k[fine]
-        n = self.n[k]
-        row = np.repeat(self.first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        return np.repeat(at, n), self.item[row], self.off[row]
+        portion = np.cumsum(self.n[k]) // HELD
+        for cut in np.split(np.arange(len(at)), np.flatnonzero(np.diff(portion)) + 1):
+            n = self.n[k[cut]]
+            row = np.repeat(self.first[k[cut]] - np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), n) + np.arange(n.sum())
+            yield np.repeat(at[cut], n), self.item[row], self.off[row]
 
     def candidates(self, a: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, lowest diagonal, highest diagonal) of the bands that reach the lemma's bound, neighbours merged."""
-        p, item, off = self.hits(a)
-        if not len(p):
-            return []
-        half = self.e[item] + 1
-        band = np.floor_divide(p - off, half)
-        # Each diagonal lies in band b (from b * half) and in b - 1: bands are 2 * half wide and overlap by half.
-        key = np.concatenate([item, item]) * (1 << 40) + np.concatenate([band, band - 1]) + (1 << 30)
-        u, n = np.unique(key, return_counts=True)
+        u, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for p, item, off in self.hits(a):
+            band = np.floor_divide(p - off, self.e[item] + 1)
+            # Each diagonal lies in band b (from b * half) and in b - 1: bands are 2 * half wide and overlap by half.
+            key, times = np.unique(np.concatenate([item, item]) * (1 << 40) + np.concatenate([band, band - 1]) + (1 << 30), return_counts=True)
+            u, back = np.unique(np.concatenate([u, key]), return_inverse=True)
+            n = np.bincount(back, np.concatenate([n, times]), len(u)).astype(np.int64)
         out: list[tuple[int, int, int]] = []
         for k in u[n >= self.need[u >> 40]]:
             i = int(k >> 40)
@@ -128,30 +133,52 @@ class Items:
                 out.append((i, lo, hi))
         return out
 
-    def matches(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item id, start, end, edits) of every region of ``text`` within budget, overlaps of one item reduced to the best."""
+    def regions(self, i: int, a: np.ndarray, bands: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """(edits, start, end) of item ``i``: the best region of all bands, then the best of what lies clear of it, and so on."""
+        heap: list[tuple] = []
+        taken: list[tuple[int, int]] = []
+
+        def look(lo, hi, x, y):
+            """The best region of a band within text x .. y, if any, waits in the heap."""
+            if y - x >= self.m[i] - self.e[i] and (r := align(self.code[i], a[x:y], lo - x, hi - x, int(self.e[i]))):
+                heapq.heappush(heap, (r[0], r[1] + x, r[2] + x, lo, hi, x, y))
+
+        for lo, hi in bands:
+            look(lo, hi, 0, len(a))
+        out = []
+        while heap:
+            e, s, t, lo, hi, x, y = heapq.heappop(heap)
+            clash = next(((b, c) for b, c in taken if s < c and b < t), None)
+            if clash is None:
+                taken.append((s, t))
+                out.append((e, s, t))
+            cut = clash or (s, t)
+            look(lo, hi, x, min(cut[0], y))
+            look(lo, hi, max(cut[1], x), y)
+        return out
+
+    def matches(self, text: str | None) -> list[tuple[int | None, int, int, int]]:
+        """(item id, start, end, edits) of every region of ``text`` within budget; regions of one item do not overlap."""
         a = codes(text or "")
-        found: dict[int, list[tuple[int, int, int]]] = {}
+        bands: dict[int, list[tuple[int, int]]] = {}
         for i, lo, hi in self.candidates(a):
-            if r := align(self.code[i], a, lo, hi, int(self.e[i])):
-                found.setdefault(i, []).append(r)
+            bands.setdefault(i, []).append((lo, hi))
+        out = [(self.ids[i], s, t, e) for i, b in bands.items() for e, s, t in self.regions(i, a, b)]
         for i in self.short:
-            c = self.code[i]
-            s = np.flatnonzero(np.all(np.lib.stride_tricks.sliding_window_view(a, len(c)) == c, axis=1)) if len(a) >= len(c) else []
-            found.setdefault(i, []).extend((0, int(x), int(x) + len(c)) for x in s)
-        out = []
-        for i, rs in found.items():
-            taken: list[tuple[int, int]] = []
-            for e, s, t in sorted(rs):
-                if all(t <= x or s >= y for x, y in taken):
-                    taken.append((s, t))
-                    out.append((self.ids[i], s, t, e))
-        return sorted(out)
+            c, end = self.code[i], 0
+            for s in np.flatnonzero(np.all(np.lib.stride_tricks.sliding_window_view(a, len(c)) == c, axis=1)).tolist() if len(a) >= len(c) else []:
+                if s >= end:
+                    end = s + len(c)
+                    out.append((self.ids[i], s, end, 0))
+        return sorted(out, key=lambda r: (r[0] is None, r[0] or 0, *r[1:]))
 
 
 def align(item: np.ndarray, text: np.ndarray, lo: int, hi: int, e: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best occurrence of ``item`` in ``text`` on diagonals lo - e .. hi + e, if within e edits."""
     m, n = len(item), len(text)
+    lo, hi = max(lo, -e), min(hi, n - m + e)  # others hold no region
+    if lo > hi:
+        return None
     for d in range(max(lo, 0), min(hi, n - m) + 1):  # a verbatim copy needs no table
         if item[0] == text[d] and np.array_equal(item, text[d : d + m]):
             return 0, d, d + m
@@ -184,12 +211,12 @@ def align(item: np.ndarray, text: np.ndarray, lo: int, hi: int, e: int) -> tuple
 
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """Benchmark items in blocks of bounded size: usually one; a larger benchmark takes one pass of the documents a block."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null and length(text) > 0")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("length(text) > 0")
     n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     parts = max(1, -(-n // BLOCK_ITEMS), -(-chars // BLOCK_CHARS))
     for k in range(parts):
-        block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) if parts > 1 else items
-        yield sorted((r.item_id, r.text) for r in block.collect())
+        block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else items
+        yield sorted(((r.item_id, r.text) for r in block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
 MATCH = "doc_id long, item_id long, start long, end long, edits long"
@@ -203,20 +230,18 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: floa
 
         def run(batches, shared=shared):
             items = Items(shared.value, q, rate)
-            for pdf in batches:
-                got = [(d, *m) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for m in items.matches(t)]
+            for b in batches:
+                got = [(d.as_py(), *m) for d, t in zip(b.column(0), b.column(1), strict=True) for m in items.matches(t.as_py())]
                 if got:
-                    yield pd.DataFrame(got, columns=["doc_id", "item_id", "start", "end", "edits"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], names=["doc_id", "item_id", "start", "end", "edits"])
 
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, MATCH)
+        part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, MATCH)
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:
     """Rows of ``docs`` whose text holds no item; every column is kept. Rows are judged where they lie, so nothing moves."""
-    import pyarrow as pa
-
     at = docs.columns.index("text")
     for rows in blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(rows)

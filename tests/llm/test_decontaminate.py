@@ -78,3 +78,48 @@ def test_large_benchmark_is_cut_into_blocks(spark, monkeypatch):
     whole = sorted(map(tuple, D.contaminations(df, bench).collect()))
     monkeypatch.setattr(D, "BLOCK_ITEMS", 5)
     assert sorted(map(tuple, D.contaminations(df, bench).collect())) == whole
+
+
+def greedy(item, text):
+    """Regions by full-width alignment: the best, then the best of each side of it, best of all sides first."""
+    a, c, e = D.codes(text), D.codes(item), D.budget(len(item))
+    free, out = [(0, len(a))], []
+    while True:
+        found = []
+        for x, y in free:
+            if y - x >= len(c) - e and (r := D.align(c, a[x:y], -len(c), y - x, e)):
+                found.append((r[0], r[1] + x, r[2] + x, (x, y)))
+        if not found:
+            return sorted((s, t, e_) for e_, s, t in out)
+        e_, s, t, seg = min(found)
+        out.append((e_, s, t))
+        free.remove(seg)
+        free += [(seg[0], s), (t, seg[1])]
+
+
+def test_periodic_texts_lose_no_region(spark, monkeypatch):
+    rng = random.Random(4)
+    count = lambda item, text: len(D.Items([(1, item)]).matches(text))
+    assert [count("a" * 12, "a" * n) for n in (11, 12, 23, 24, 60)] == [0, 1, 1, 2, 5] and count("abc" * 5, "abc" * 15) == 3
+    for trial in range(60):
+        period = "".join(rng.choice("ab ") for _ in range(rng.randint(1, 7)))
+        item = (period * 40)[: rng.randint(12, 70)]
+        text = edited(rng, (period * 200)[: rng.randint(20, 400)], rng.randint(0, 8)) + ("x" * 5 + item) * rng.randint(0, 2)
+        want = greedy(item, text)
+        assert [m[1:] for m in D.Items([(7, item)]).matches(text)] == want, (item, text)
+        if trial < 10:
+            monkeypatch.setattr(D, "HELD", 50)
+            assert [m[1:] for m in D.Items([(7, item)]).matches(text)] == want
+            monkeypatch.setattr(D, "HELD", 2_000_000)
+
+
+def test_null_ids_case_and_long_texts(spark):
+    item = "ＡＢＣ Ꭰ word that is long enough to be found"
+    long = "filler words " * 20_000 + item.lower() + " tail"
+    docs = spark.createDataFrame([(1, item.lower(), 5), (None, item, 6), (2, long, 7), (2, long, 7), (3, "clean", 8)], "doc_id long, text string, start int")
+    bench = spark.createDataFrame([(None, item, "x"), (None, item, "x"), (4, None, "y")], "item_id long, text string, doc_id string")
+    got = sorted(map(tuple, D.contaminations(docs, bench).collect()), key=str)
+    at = len("filler words ") * 20_000
+    assert got == sorted([(1, None, 0, len(item), 0)] * 2 + [(None, None, 0, len(item), 0)] * 2 + [(2, None, at, at + len(item), 0)] * 4, key=str)
+    left = D.clean(docs, bench)
+    assert left.columns == docs.columns and [r.doc_id for r in left.collect()] == [3]
