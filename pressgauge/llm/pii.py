@@ -1,6 +1,7 @@
 """Personal data by built-in functions only: patterns propose, checksums confirm, context words move the score.
 
-Kinds, in order: email, ip, card, phone (the base kinds, always reported), then iban and ssn, reported from a score of 0.5.
+Kinds, in order: email, ip, card, phone (the base kinds, always reported), then iban, ssn and secret (a key or token: a long
+run of letters and digits), reported from a score of 0.5. The last two need a context word to reach it.
 Matches are leftmost and do not overlap within a kind. ``start`` and ``end`` are code points, end exclusive. A match that
 fails its check is dropped without another try. Patterns use possessive repeats, so a long run of digits or letters takes
 linear time and no recursion. Null text is empty; repeated rows and null ids stay.
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = KINDS[:4]
 _LOCAL = r"A-Za-z0-9._%+-"
 PATTERNS = {
@@ -22,14 +23,16 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "secret": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+",
 }
 #: Cheap tests that rule a kind out before its pattern runs.
-NEEDS = {"email": r"@[A-Za-z0-9-]+\.", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9][\x20().0-9-]", "iban": r"[A-Z]{2}[0-9]{2}", "ssn": r"[0-9]{3}-[0-9]{2}-"}
+NEEDS = {"email": r"@[A-Za-z0-9-]+\.", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9][\x20().0-9-]", "iban": r"[A-Z]{2}[0-9]{2}", "ssn": r"[0-9]{3}-[0-9]{2}-", "secret": r"[A-Za-z0-9+/_-]{20}"}
 # Score of a kind, and words that raise it within CONTEXT characters before the match.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.6, "ssn": 0.3}
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.6, "ssn": 0.3, "secret": 0.3}
 WORDS = {
     "email": "mail|contact|write", "ip": "ip|host|server|address", "card": "card|visa|credit|pay", "phone": "phone|call|tel|mobile|fax",
     "iban": "iban|bank|account|transfer", "ssn": "ssn|social|security",
+    "secret": "token|secret|password|passwd|api|key|bearer|auth|credential",
 }
 CONTEXT, BONUS, MIN_SCORE = 40, 0.3, 0.5
 
@@ -56,6 +59,8 @@ def confirmed(kind: str, m: Column) -> Column:
         return n.between(9, 15)
     if kind == "iban":
         return iban_remainder(m) == 1
+    if kind == "secret":
+        return m.rlike("[0-9]") & m.rlike("[A-Za-z]")
     return F.lit(True)
 
 
@@ -129,3 +134,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def joined(spans_col: str, only: tuple[str, ...] = KINDS) -> Column:
     kept = F.filter(spans_col, lambda s: s["kind"].isin(*only))
     return F.array_join(F.transform(kept, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def scores(spans_col: str) -> Column:
+    """Scores of the spans, in their order."""
+    return F.array_join(F.transform(spans_col, lambda s: F.format_number(s["score"], 2)), ",")

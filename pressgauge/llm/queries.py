@@ -26,7 +26,7 @@ def op3_pii(spark, d):
         return F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
 
     counts = [count(k) for k in pii.KINDS]
-    return s.select("doc_id", *counts[:4], F.sha2(pii.joined("spans", pii.BASE), 256).alias("base_sha256"), pii.joined("spans").alias("spans"), *counts[4:])
+    return s.select("doc_id", *counts[:4], F.sha2(pii.joined("spans", pii.BASE), 256).alias("base_sha256"), pii.joined("spans").alias("spans"), *counts[4:], pii.scores("spans").alias("scores"))
 
 
 def op4_ann(spark, d):

@@ -71,3 +71,12 @@ def test_query_counts(spark):
         b = base(texts[r.doc_id] or "")
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(x.startswith(k) for x in b) for k in ("email", "ip", "card", "phone"))
         assert r.base_sha256 == hashlib.sha256(",".join(b).encode()).hexdigest()
+
+
+def test_secrets_need_digits_letters_and_context(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = [f'Esa token = "{key}" with', f"only {key} here", "password: " + "x" * 30, "api_key=" + "A1b2" * 6 + ".", "Bearer " + "Q9" * 200]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.spans(df).select("doc_id", pii.joined("spans").alias("a"), pii.scores("spans").alias("s")).collect()}
+    assert [got[i].a for i in range(5)] == ["secret:13:53", "", "", "secret:8:32", "secret:7:407"] and got[0].s == "0.60"
+    assert pii.redact(df).filter("doc_id = 0").first().text == 'Esa token = "[SECRET]" with'
