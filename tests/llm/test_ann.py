@@ -37,6 +37,11 @@ def test_ties_odd_vectors_and_small_tables(spark):
     got = ann.search(df, df.filter("vec_id % 100 = 0")).orderBy("query_id", "rank").collect()
     assert sorted({r.query_id for r in got}) == [0, 100, 200, 300, 400]
     assert [r.vec_id for r in got if r.query_id == 0] == list(range(1, 11)) and [r["rank"] for r in got if r.query_id == 100] == list(range(1, 11))
+    more = df.unionByName(spark.createDataFrame([(1, v, "y"), (1, v, "y"), (1400, [1.0, 3.0], "y"), (1401, [2.0, 3.0], "y"), (1402, [5.0, 3.0], "y"), (100, v, "y")], df.schema))
+    again = ann.search(more, more.filter("vec_id % 100 = 0")).collect()
+    assert sorted(map(tuple, (r for r in again if r.query_id < 1000))) == sorted(map(tuple, got))
+    # An id with two places: the nearer one counts; other lengths are tables of their own.
+    assert [(r.vec_id, round(r.score, 6)) for r in sorted(again, key=lambda r: r["rank"]) if r.query_id == 1400] == [(1401, 1.0), (1402, 4.0)]
     two = spark.createDataFrame([(0, [1.0]), (7, [3.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in ann.search(two, two.filter("vec_id = 0")).collect()] == [(0, 1, 7, 2.0)]
     assert ann.search(two.limit(0), two).count() == 0
@@ -51,3 +56,39 @@ def test_recall_in_tight_groups_of_a_full_block():
     got = ann._scan(books, rows, asked, ann.K, ann.RERANK, False).groupby("query_id")["vec_id"].apply(list)
     want = exact(list(enumerate(x)), [(q, x[q]) for q in asked["vec_id"]])
     assert all(got[q] == [i for i, _ in want[q]] for q in want)
+
+
+def test_partitions_hold_the_neighbours(spark, monkeypatch):
+    """Many partitions, crowded ones cut into blocks: recall against brute force, and few partitions visited."""
+    monkeypatch.setattr(ann, "BLOCK", 256)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 16)
+    rng = np.random.default_rng(5)
+    centre = rng.normal(0, 1, (40, 24))
+    x = centre[np.where(rng.random(6000) < 0.33, 0, rng.integers(0, 40, 6000))] + rng.normal(0, 0.25, (6000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    index = ann.Index(x[::3], len(x), 10)
+    assert len(index.centroids) == 24 and index.probes < 12
+    got = {}
+    for r in ann.search(df, df.filter("vec_id % 100 = 0"), fit_rows=2000).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = exact(list(enumerate(x)), [(i, x[i]) for i in range(0, 6000, 100)])
+    hit = sum(len(set(got[q]) & {i for i, _ in want[q]}) for q in want) / (10 * len(want))
+    assert hit >= 0.95 and all(len(v) == 10 for v in got.values())
+
+
+def test_bound_leaves_few_vectors_to_rescore():
+    """On a full block of clustered vectors the codes alone rule out most: the exact part is small."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (200, 64))[rng.integers(0, 200, ann.BLOCK)] + rng.normal(0, 0.15, (ann.BLOCK, 64))
+    books = ann.fit(x[:4096])
+    codes = books.code(x)
+    lost, q = books.lost(x, codes), x[:20]
+    tables, slack = books.tables(q), np.linalg.norm(books.asked(q), axis=2) @ lost.T
+    share = []
+    for r in range(len(q)):
+        score = tables[r][np.arange(codes.shape[1]), codes].sum(1)
+        d = ((x - q[r]) ** 2).sum(1)
+        least = (((q[r] - books.mean) ** 2).sum() - np.sort(d)[10]) / 2
+        share.append((score + slack[r] >= least).mean())
+    print("rescored", np.mean(share))
+    assert np.mean(share) < 0.05
