@@ -5,8 +5,12 @@ softmax gives the token's class and the word within the class. Summed log-probab
 
 Word counts cover the whole corpus. The network starts from a short fit on a bounded sample; then every task goes once
 over all its documents from there, and the tasks' parameters are averaged by tokens, so training covers every token and
-what is gathered grows with the input. Words outside the table share hashed entries; ``score_all`` splits the probability of
-such an entry among its words by their counts in all texts.
+what is gathered grows with the input. Words outside the table share hashed entries; the probability of such an entry is
+split among its words by their counts in all texts, so every word of the corpus has its own.
+
+Texts are read once. Each task numbers the words of a block of documents as they come; the blocks' word lists (not their
+tokens) are shuffled to meet the counts, and go back to their block as a table from number to entry. Training and scoring
+read the encoded documents.
 
 One rule finds words everywhere: runs of ``\\w`` of the lower-case text. Null and empty texts have no tokens and a
 log-likelihood of 0; repeated rows and null ids are scored each; ties in the vocabulary go by word; other columns are ignored.
@@ -16,7 +20,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, summed, vector_rows
+from .common import parts_of, released, saved, summed, vector_rows
 
 #: Words with an entry, hashed entries for all others, words a class, embedding and hidden sizes, words on each side.
 VOCAB, HASHED, PER_CLASS, DIM, HIDDEN, SIDE = 4000, 96, 64, 16, 32, 2
@@ -34,8 +37,8 @@ SIZE = VOCAB + HASHED  # a multiple of PER_CLASS
 CLASSES = SIZE // PER_CLASS
 PAD = SIZE
 _WORD = re.compile(r"\w+")
-#: Different words that a task counts before it sends them on.
-HELD = 400_000
+#: Different words of a block of documents, and tokens of the rows that leave a task together, about.
+HELD, SENT = 200_000, 1_000_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -52,17 +55,10 @@ class Vocabulary:
     def __getstate__(self):
         return {"ids": self.ids, "counts": None}
 
-    def __call__(self, text: str | None, rare: list[str] | None = None) -> np.ndarray:
-        """Entries of the words of a text; words that share a hashed entry are added to ``rare``."""
-        get, out = self.ids.get, []
-        for w in words_of(text):
-            i = get(w)
-            if i is None:
-                i = VOCAB + zlib.crc32(w.encode()) % HASHED
-                if rare is not None:
-                    rare.append(w)
-            out.append(i)
-        return np.array(out, np.int32)
+    def __call__(self, text: str | None) -> np.ndarray:
+        """Entries of the words of a text."""
+        found = ((self.ids.get(w), w) for w in words_of(text))
+        return np.array([VOCAB + zlib.crc32(w.encode()) % HASHED if i is None else i for i, w in found], np.int32)
 
 
 def contexts(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -198,23 +194,67 @@ class Network:
         return Network(out)
 
 
-def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Corpus counts of words, combined within a task before anything is sent."""
+class _Numbers(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+_BLOCK = "block long, doc_id long, tokens binary, word string, number int, n long"
+_ARROW = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("tokens", pa.binary()), ("word", pa.string()), ("number", pa.int32()), ("n", pa.int64())])
+
+
+def numbered(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Documents as numbers of words (``tokens``), and the word list of each block with its counts (``word`` is not null)."""
+
+    def batch(block, **cols):
+        n = len(next(iter(cols.values())))
+        return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()) if f.name == "block" else pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(n, f.type) for f in _ARROW], schema=_ARROW)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block, known, times = TaskContext.get().partitionId() << 32, _Numbers(), []
+        ids, held, size = [], [], 0
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+        def documents():
+            out = batch(block, doc_id=ids, tokens=[x.tobytes() for x in held])
+            times.append(np.bincount(np.concatenate(held))) if size else None
+            return out
+
+        def word_list():
+            n = np.zeros(len(known), np.int64)
+            for t in times:
+                n[: len(t)] += t
+            return batch(block, word=list(known), number=np.arange(len(known), dtype=np.int32), n=n)
 
-        held: Counter = Counter()
         for b in batches:
-            for t in b.column(0):
-                held.update(words_of(t.as_py()))
-                if len(held) >= HELD:
-                    yield rows()
-                    held = Counter()
-        yield rows()
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                w = words_of(t.as_py())
+                ids.append(i)
+                held.append(np.fromiter(map(known.__getitem__, w), np.int32, len(w)))
+                size += len(w)
+                if size >= SENT or len(known) >= HELD or len(ids) >= 5000:
+                    yield documents()
+                    ids, held, size = [], [], 0
+                    if len(known) >= HELD:
+                        yield word_list()
+                        block, known, times = block + 1, _Numbers(), []
+        if ids:
+            yield documents()
+        if known:
+            yield word_list()
+
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, _BLOCK)
+
+
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Corpus counts of words, combined within a block of documents before anything is sent."""
+    return _counts(numbered(docs.withColumn("__id", F.lit(0)), text_col, "__id"))
+
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def _counts(blocks: DataFrame) -> DataFrame:
+    return blocks.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _entry(word):
@@ -233,9 +273,8 @@ def most_frequent(counts: DataFrame, k: int) -> list:
     return counts.filter(level >= least).orderBy(F.desc("n"), "word").limit(k).collect() if least is not None else []
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, np.ndarray]:
+def vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray]:
     """The VOCAB most frequent words (ties by word) and the counts of all entries, hashed ones included."""
-    counts = saved(word_counts(docs, text_col), "words")
     top = most_frequent(counts, VOCAB)
     out = np.zeros(SIZE)
     out[: len(top)] = [r.n for r in top]
@@ -246,100 +285,144 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, np.
     return Vocabulary([r.word for r in top], counts), out
 
 
-def runs_of(text: str | None) -> list[str]:
-    """The whole text's words, or RUNS runs of RUN words spread evenly over all of it where it has more than that."""
-    w = words_of(text)
-    return [" ".join(w)] if len(w) <= RUNS * RUN else [" ".join(w[i * len(w) // RUNS :][:RUN]) for i in range(RUNS)]
+class Corpus:
+    """Encoded documents ``rows`` (doc_id, tokens, within), the vocabulary, and the counts of its entries.
 
+    ``tokens`` are 16-bit entries; ``within`` sums log(count of the word / count of its entry) over words of hashed entries.
+    """
 
-def _sample(docs: DataFrame, text_col: str, id_col: str) -> list[str]:
-    """Runs of words of WARM_DOCS documents, first in order of a hash. Hashes alone are ranked; then those rows are read."""
-    key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"))
-    keyed = docs.filter(F.length(text_col) > 0).select(key.alias("key"), F.col(text_col).cast("string").alias("text"))
+    def __init__(self, rows: DataFrame, vocab: Vocabulary, counts: np.ndarray | None):
+        self.rows, self.vocab, self.counts = rows, vocab, counts
+
+
+def encode(docs: DataFrame, vocab: Vocabulary | None = None, text_col: str = "text", id_col: str = "doc_id") -> Corpus:
+    """Documents by the entries of ``vocab``, or of a vocabulary of their own. A word that a given vocabulary's texts do not
+    hold counts as one more word seen once."""
+    blocks, counts = saved(numbered(docs, text_col, id_col), "blocks"), None
+    if vocab is None:
+        vocab, counts = vocabulary(saved(_counts(blocks), "words"))
+    spark, h = docs.sparkSession, _entry(F.col("word"))
+    top = spark.createDataFrame(list(vocab.ids.items()), "word string, entry int")  # VOCAB rows at most
+    words = vocab.counts.join(F.broadcast(top), "word", "left")
+    totals = F.broadcast(words.filter("entry is null").groupBy(h.alias("h")).agg(F.sum("n").alias("in_entry")))  # HASHED rows
+    lists = blocks.filter("word is not null").select("block", "word", "number").join(words, "word", "left").withColumn("h", h).join(totals, "h", "left")
+    share = F.coalesce(F.log(F.col("n") / F.col("in_entry")), -F.log(F.coalesce("in_entry", F.lit(0)) + 1))
+    table = lists.select("block", F.lit(0).alias("role"), "number", F.coalesce("entry", F.col("h") + VOCAB).alias("entry"), F.when(F.col("entry").isNull(), share).otherwise(0.0).alias("share"))
+    texts = blocks.filter("word is null").select("block", F.lit(1).alias("role"), "doc_id", "tokens")
+    both = table.unionByName(texts, allowMissingColumns=True).select("block", "role", "number", "entry", "share", "doc_id", "tokens")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        at = entry = within = None
+        for b in batches:
+            block, role = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cut = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (role[1:] != role[:-1])])) if len(block) else []
+            for i, j in zip(cut, [*cut[1:], len(block)], strict=True):
+                if role[i] == 0:
+                    if at != block[i]:
+                        at, held, entry = block[i], [], None
+                    held.append([b.column(k).slice(i, j - i).to_numpy() for k in (2, 3, 4)])
+                    continue
+                if at != block[i]:  # a block without a word
+                    at, held, entry = block[i], [[np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0)]], None
+                if entry is None:
+                    number, e, w = (np.concatenate(x) for x in zip(*held, strict=True))
+                    entry, within = np.zeros(len(number), np.uint16), np.zeros(len(number))
+                    entry[number], within[number] = e, w
+                numbers = [np.frombuffer(t.as_buffer(), np.int32) if t.as_buffer().size else np.zeros(0, np.int32) for t in b.column(6).slice(i, j - i)]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(5).slice(i, j - i), pa.array([entry[x].tobytes() for x in numbers], pa.binary()), pa.array([float(within[x].sum()) for x in numbers], pa.float64())],
+                    names=["doc_id", "tokens", "within"],
+                )
+
+    rows = saved(both.repartition(parts_of(spark), "block").sortWithinPartitions("block", "role").mapInArrow(run, "doc_id long, tokens binary, within double"), "encoded")
+    released(blocks)
+    return Corpus(rows, vocab, counts)
+
+
+def _tokens(value: pa.Scalar) -> np.ndarray:
+    b = value.as_buffer()
+    return np.frombuffer(b, np.uint16).astype(np.int32) if b.size else np.zeros(0, np.int32)
+
+
+def runs_of(tokens: np.ndarray) -> list[np.ndarray]:
+    """All tokens of a document, or RUNS runs of RUN tokens spread evenly over all of it where it has more than that."""
+    n = len(tokens)
+    return [tokens] if n <= RUNS * RUN else [tokens[i * n // RUNS :][:RUN] for i in range(RUNS)]
+
+
+def _sample(rows: DataFrame) -> list[np.ndarray]:
+    """Runs of tokens of WARM_DOCS documents, first in order of a hash. Hashes alone are ranked; then those rows are read."""
+    keyed = rows.filter(F.octet_length("tokens") > 0).select(F.xxhash64("doc_id", "tokens").alias("key"), "tokens")
     chosen = keyed.select("key").distinct().orderBy("key").limit(WARM_DOCS)
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([runs_of(t.as_py()) for t in b.column(1)], pa.list_(pa.string()))], names=["key", "runs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[x.astype(np.uint16).tobytes() for x in runs_of(_tokens(t))] for t in b.column(1)], pa.list_(pa.binary()))], names=["key", "runs"])
 
-    rows = keyed.join(F.broadcast(chosen), "key").dropDuplicates(["key"]).mapInArrow(run, "key long, runs array<string>").collect()
-    return [x for r in sorted(rows, key=lambda r: r.key) for x in r.runs]
+    got = keyed.join(F.broadcast(chosen), "key").dropDuplicates(["key"]).mapInArrow(run, "key long, runs array<binary>").collect()
+    return [np.frombuffer(x, np.uint16).astype(np.int32) for r in sorted(got, key=lambda r: r.key) for x in r.runs]
 
 
-def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[Vocabulary, Network]:
-    """Vocabulary and network of a corpus. Parameters are added up in a tree on executors, and their mean arrives once."""
-    vocab, counts = vocabulary(docs, text_col)
-    warm = Network.start(counts)
-    warm.train(map(vocab, _sample(docs, text_col, id_col)), 4)
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, warm))  # a fixed size
+def train_on(corpus: Corpus) -> Network:
+    """The network of an encoded corpus. Parameters are added up in a tree on executors, and their mean arrives once."""
+    warm = Network.start(corpus.counts)
+    warm.train(iter(_sample(corpus.rows)), 4)
+    shared = corpus.rows.sparkSession.sparkContext.broadcast(warm)  # a fixed size
 
     def local(batches):
-        v, net = shared.value
-        net = net.like(net.flat())
-        n = net.train(v(t.as_py()) for b in batches for t in b.column(0))
+        net = shared.value.like(shared.value.flat())
+        n = net.train(_tokens(t) for b in batches for t in b.column(0))
         if n:
             yield vector_rows(net.flat().astype(np.float64) * n, n)
 
-    total, n = summed(docs.select(F.col(text_col).cast("string")), len(warm.flat()), local)
-    return vocab, warm if total is None else warm.like(total / n)
+    total, n = summed(corpus.rows.select("tokens"), len(warm.flat()), local)
+    return warm if total is None else warm.like(total / n)
 
 
-def score(docs: DataFrame, vocab: Vocabulary, net: Network, text_col: str = "text", id_col: str = "doc_id", with_rare: bool = False) -> DataFrame:
-    """doc_id, n_tokens, log_likelihood (sum over all tokens) and mean_log_likelihood (null without tokens). No shuffle.
-
-    A word of a hashed entry counts as its entry. ``with_rare`` adds the list of those words.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, net))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_likelihood", pa.float64()), ("mean_log_likelihood", pa.float64())] + [("rare", pa.list_(pa.string()))] * with_rare)
+def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[Vocabulary, Network]:
+    """Vocabulary and network of a corpus."""
+    corpus = encode(docs, None, text_col, id_col)
+    return corpus.vocab, train_on(corpus)
 
-    def batch(ids, docs_, rare):
-        tokens, ctx = contexts(docs_)
-        lp = np.concatenate([[0.0], np.cumsum(net_[0].log_probs(tokens, ctx))])
-        n = np.array([len(d) for d in docs_])
-        end = np.cumsum(n)
-        total = lp[end] - lp[end - n]
-        mean = [t / k if k else None for t, k in zip(total.tolist(), n.tolist(), strict=True)]
-        more = [pa.array(rare, pa.list_(pa.string()))] if with_rare else []
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n), pa.array(total), pa.array(mean, pa.float64()), *more], schema=schema)
 
-    net_: list[Network] = []
+def score_on(corpus: Corpus, net: Network, split: bool = True) -> DataFrame:
+    """doc_id, n_tokens, log_likelihood (sum over all tokens) and mean_log_likelihood (null without tokens). No shuffle.
 
-    def run(batches):
-        v, n_ = shared.value
-        net_[:] = [n_]
-        ids, held, rare, n = [], [], [], 0
+    Without ``split`` a word of a hashed entry has the probability of its entry.
+    """
+    shared = corpus.rows.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def scored():
+            lp = np.concatenate([[0.0], np.cumsum(shared.value.log_probs(*contexts(held)))])
+            n = np.array([len(d) for d in held])
+            end = np.cumsum(n)
+            total = lp[end] - lp[end - n] + (np.array(within) if split else 0)
+            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(total), mean], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
+
+        ids, held, within, size = [], [], [], 0
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rare.append([])
-                d = v(t.as_py(), rare[-1] if with_rare else None)
+            for i, t, w in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 ids.append(i)
-                held.append(d)
-                n += len(d)
-                if n >= 60_000 or len(ids) >= 5000:
-                    yield batch(ids, held, rare)
-                    ids, held, rare, n = [], [], [], 0
+                held.append(_tokens(t))
+                within.append(w)
+                size += len(held[-1])
+                if size >= 60_000 or len(ids) >= 5000:
+                    yield scored()
+                    ids, held, within, size = [], [], [], 0
         if ids:
-            yield batch(ids, held, rare)
+            yield scored()
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double" + ", rare array<string>" * with_rare)
+    return corpus.rows.select("doc_id", "tokens", "within").mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
 
 
-def score_all(docs: DataFrame, vocab: Vocabulary, net: Network, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """As ``score``, with the probability of a hashed entry split among its words by their counts in the training texts.
+def score(docs: DataFrame, vocab: Vocabulary, net: Network, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Scores in which a word of a hashed entry counts as its entry."""
+    return score_on(encode(docs, vocab, text_col, id_col), net, False)
 
-    log(count of the word / count of its entry) is added for every token of a hashed entry, so words are told apart
-    whatever their number; a word that training never saw counts as one more word seen once. Words and counts are joined on
-    executors; rows meet by a number of their own.
-    """
-    base = saved(score(docs, vocab, net, text_col, id_col, True).withColumn("row", F.monotonically_increasing_id()), "scored")
-    tokens = base.select("row", F.explode("rare").alias("word"))
-    top = docs.sparkSession.createDataFrame([(w,) for w in vocab.ids], "word string")  # VOCAB rows at most
-    words = vocab.counts.join(F.broadcast(top), "word", "left_anti").withColumn("h", _entry(F.col("word")))
-    entries = F.broadcast(words.groupBy("h").agg(F.sum("n").alias("in_entry")))  # HASHED rows
-    share = words.join(entries, "h").select("word", F.log(F.col("n") / F.col("in_entry")).alias("share"))
-    new = tokens.join(share, "word", "left").select("row", "word", "share")
-    unseen = F.coalesce(F.col("share"), -F.log(F.coalesce("in_entry", F.lit(0)) + 1))
-    within = new.withColumn("h", _entry(F.col("word"))).join(entries, "h", "left").groupBy("row").agg(F.sum(unseen).alias("within"))
-    total = F.col("log_likelihood") + F.coalesce("within", F.lit(0.0))
-    out = base.drop("rare").join(within, "row", "left")
-    return out.select("doc_id", "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_likelihood"))
+
+def score_all(docs: DataFrame, vocab: Vocabulary, net: Network, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Scores in which the probability of a hashed entry is split among its words by their counts in the training texts."""
+    return score_on(encode(docs, vocab, text_col, id_col), net)

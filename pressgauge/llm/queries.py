@@ -72,8 +72,8 @@ def pipeline(spark, d):
 
 
 def op10_lm_scoring(spark, d):
-    docs = table(spark, d, "documents")
-    return lm.score_all(docs, *lm.train(docs))
+    corpus = lm.encode(table(spark, d, "documents"))
+    return lm.score_on(corpus, lm.train_on(corpus))
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op3_pii, op4_ann, op5_warc, op6_packing, op7_suffix_dedup, op8_toxicity, op9_minhash, op10_lm_scoring, pipeline)}

@@ -96,8 +96,26 @@ def test_one_word_rule_and_odd_columns(spark):
     counts = {r.word: r.n for r in lm.word_counts(df).collect()}
     vocab, _ = lm.train(df)
     assert set(counts) == set(vocab.ids) and all(vocab(t).max(initial=0) < lm.VOCAB for t in texts)
-    long = " ".join(f"w{i}" for i in range(50_000))
-    assert [len(r.split()) for r in lm.runs_of(long)] == [lm.RUN] * lm.RUNS and lm.runs_of(long)[-1].startswith("w47500 ")
+    long = np.arange(50_000)
+    assert [len(r) for r in lm.runs_of(long)] == [lm.RUN] * lm.RUNS and lm.runs_of(long)[-1][0] == 47_500
     counts = spark.createDataFrame([(f"w{i:03}", 1 + i % 7) for i in range(100)], "word string, n long")
     want = sorted(((f"w{i:03}", 1 + i % 7) for i in range(100)), key=lambda r: (-r[1], r[0]))
     assert [tuple(r) for r in lm.most_frequent(counts, 30)] == want[:30] and len(lm.most_frequent(counts, 500)) == 100
+
+
+def test_blocks_give_the_entries_of_whole_texts(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(None, ""), (-7, None), (-8, "!")], "doc_id long, text string")).repartition(3)
+    monkeypatch.setattr(lm, "HELD", 300)
+    monkeypatch.setattr(lm, "SENT", 1000)
+    corpus = lm.encode(df)
+    texts = {r.doc_id: r.text for r in df.collect()}
+    words = [w for t in texts.values() for w in lm.words_of(t)]
+    n = Counter(words)
+    assert {r.word: r.n for r in corpus.vocab.counts.collect()} == n and corpus.counts.sum() == len(words)
+    inside = Counter(lm.zlib.crc32(w.encode()) % lm.HASHED for w in words if w not in corpus.vocab.ids)
+    rows = corpus.rows.collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert np.array_equal(np.frombuffer(r.tokens, np.uint16), corpus.vocab(texts[r.doc_id]))
+        want = sum(np.log(n[w] / inside[lm.zlib.crc32(w.encode()) % lm.HASHED]) for w in lm.words_of(texts[r.doc_id]) if w not in corpus.vocab.ids)
+        assert abs(r.within - want) < 1e-6 * max(1, abs(want))
