@@ -94,14 +94,12 @@ class Network:
         return x, np.tanh(h, out=h)
 
     @staticmethod
-    def _exp(h, w, b):
-        """(logits, their exponentials, sums), one column a row of ``h``; |h| <= 1 bounds logits, so few need the maximum."""
-        z = w.T @ h.T
-        z += b[:, None]
-        if (np.abs(w).sum(0) + np.abs(b)).max() > 60:
-            z -= z.max(0)
-        e = np.exp(z)
-        return z, e, e.sum(0)
+    def _softmax(z, bound):
+        """(exponentials, sums) of rows of logits, in place. Logits under ``bound`` need no maximum taken off."""
+        if bound > 60:
+            z -= z.max(1, keepdims=True)
+        np.exp(z, out=z)
+        return z, z @ np.ones(z.shape[1], np.float32)
 
     @staticmethod
     def _by_class(tokens, ctx):
@@ -112,38 +110,54 @@ class Network:
         cut = np.searchsorted(k, np.arange(CLASSES + 1)).tolist()
         return order, k, t % PER_CLASS, ctx[order], [(c, cut[c], cut[c + 1]) for c in range(CLASSES) if cut[c] < cut[c + 1]]
 
+    def _word_logits(self, h, k, groups):
+        """Logits of the words of each row's class: one product a class, one row a token."""
+        ww, z = self.p["ww"], np.empty((len(h), PER_CLASS), h.dtype)
+        for g, i, j in groups:
+            np.matmul(h[i:j], ww[g], out=z[i:j])
+        z += self.p["bw"][k]
+        return z
+
+    def _bounds(self):
+        """Largest logits that |h| <= 1 allows, of classes and of words."""
+        p = self.p
+        return tuple(float((np.abs(p[w]).sum(-2) + np.abs(p[b])).max()) for w, b in (("wc", "bc"), ("ww", "bw")))
+
     def log_probs(self, tokens: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-        out, p = np.empty(len(tokens), np.float64), self.p
+        out, p, (bound_c, bound_w) = np.empty(len(tokens), np.float64), self.p, self._bounds()
         for at in range(0, len(tokens), STEP):
             order, k, w, c, groups = self._by_class(tokens[at : at + STEP], ctx[at : at + STEP])
             _, h = self._hidden(c)
-            z, _, s = self._exp(h, p["wc"], p["bc"])
-            lp = z[k, np.arange(len(k))].astype(np.float64) - np.log(s)
-            for g, i, j in groups:
-                z, _, s = self._exp(h[i:j], p["ww"][g], p["bw"][g])
-                lp[i:j] += z[w[i:j], np.arange(j - i)] - np.log(s)
+            lp = np.zeros(len(k))
+            for z, which, bound in ((h @ p["wc"] + p["bc"], k, bound_c), (self._word_logits(h, k, groups), w, bound_w)):
+                if bound > 60:
+                    z -= z.max(1, keepdims=True)
+                lp += z[np.arange(len(k)), which]
+                lp -= np.log(self._softmax(z, 0)[1])
             out[at + order] = lp
         return out
 
     def step(self, tokens: np.ndarray, ctx: np.ndarray, seen: dict[str, np.ndarray], rate: float = RATE) -> None:
         """One Adagrad step on the mean log-loss of a batch."""
-        n, p = len(tokens), self.p
+        n, p, (bound_c, bound_w) = len(tokens), self.p, self._bounds()
         _, k, w, ctx, groups = self._by_class(tokens, ctx)
         x, h = self._hidden(ctx)
-        _, d, s = self._exp(h, p["wc"], p["bc"])
-        d *= 1 / (s * n)
-        d[k, np.arange(n)] -= np.float32(1 / n)
-        back = d.T @ p["wc"].T
-        grads = {"wc": (d @ h).T, "bc": d.sum(1)}
+        rows = np.arange(n)
+
+        def errors(z, right, bound):
+            e, s = self._softmax(z, bound)
+            e *= (1 / (s * n))[:, None]
+            e[rows, right] -= np.float32(1 / n)
+            return e
+
+        d = errors(h @ p["wc"] + p["bc"], k, bound_c)
+        e = errors(self._word_logits(h, k, groups), w, bound_w)
+        back = d @ p["wc"].T
+        grads = {"wc": h.T @ d, "bc": d.sum(0), "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
         for g, i, j in groups:
-            hg = h[i:j]
-            _, e, s = self._exp(hg, p["ww"][g], p["bw"][g])
-            e *= 1 / (s * n)
-            e[w[i:j], np.arange(j - i)] -= np.float32(1 / n)
-            back[i:j] += e.T @ p["ww"][g].T
-            for name, grad in (("ww", (e @ hg).T), ("bw", e.sum(1))):
-                seen[name][g] += grad * grad
-                p[name][g] -= rate * grad / np.sqrt(seen[name][g])
+            back[i:j] += e[i:j] @ p["ww"][g].T
+            np.matmul(h[i:j].T, e[i:j], out=grads["ww"][g])
+        grads["bw"][[g for g, _, _ in groups]] = np.add.reduceat(e, [i for _, i, _ in groups])
         back *= 1 - h * h
         grads |= {"w1": x.T @ back, "b1": back.sum(0)}
         dx = (back @ p["w1"].T).reshape(-1, DIM)
@@ -155,8 +169,12 @@ class Network:
         seen["emb"][met] += summed * summed
         p["emb"][met] -= rate * summed / np.sqrt(seen["emb"][met])
         for name, grad in grads.items():
-            seen[name] += grad * grad
-            p[name] -= rate * grad / np.sqrt(seen[name])
+            square = grad * grad
+            seen[name] += square
+            np.sqrt(seen[name], out=square)
+            grad *= rate
+            grad /= square
+            p[name] -= grad
 
     def fresh(self) -> dict[str, np.ndarray]:
         return {k: np.full_like(v, 1e-8) for k, v in self.p.items()}
