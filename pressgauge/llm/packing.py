@@ -36,29 +36,33 @@ class Levels:
     """Open windows by fill level; ``place`` gives (the level a piece joins, 0 for a new window, whether it is cut there)."""
 
     def __init__(self, size: int):
-        self.size, self.count = size, np.zeros(size + 1, np.int64)
+        self.size, self.count, self.used = size, [0] * (size + 1), set()
         self.open: list[list] = [[] for _ in range(size + 1)]
 
     def place(self, s: int) -> tuple[int, bool]:
         n, c = self.count, self.size
-        h = np.flatnonzero(n[:c])  # level 0 is always empty: a new window
-        whole = h[h + s <= c]
-        # Moving a window from h to h + s changes the sum by 2 (n[h+s] - n[h] + 1), by 1 - 2 n[h] when it fills up.
-        gain = np.where(whole + s == c, 1 - 2 * n[whole], 2 * (n[np.minimum(whole + s, c)] - n[whole] + 1))
-        moves = [(2 * int(n[s]) + 1 if s < c else 0, 0, 0)] + ([(int(gain.min()), 0, -int(whole[gain == gain.min()][-1]))] if len(whole) else [])
-        cut = h[h + s > c]
-        if len(cut):  # the window fills up, and one opens at the level of the rest
-            rest = s - (c - cut)
-            gain = 1 - 2 * n[cut] + 2 * (n[rest] - (rest == cut)) + 1
-            moves.append((int(gain.min()), 1, -int(cut[gain == gain.min()][-1])))
-        _, is_cut, level = min(moves)  # on ties whole before cut, then the fullest window
-        return -level, bool(is_cut)
+        # (change of the sum, cut or not, less the level): on ties whole before cut, then the fullest window.
+        best = (2 * n[s] + 1 if s < c else 0, 0, 0)
+        for h in self.used:
+            t = h + s
+            if t < c:
+                move = (2 * (n[t] - n[h] + 1), 0, -h)
+            elif t == c:
+                move = (1 - 2 * n[h], 0, -h)
+            else:  # the window fills up, and one opens at the level of the rest
+                move = (2 - 2 * n[h] + 2 * (n[t - c] - (t - c == h)), 1, -h)
+            if move < best:
+                best = move
+        return -best[2], best[1] == 1
 
     def move(self, h: int, s: int) -> None:
         if h:
             self.count[h] -= 1
+            if not self.count[h]:
+                self.used.remove(h)
         if h + s < self.size:
             self.count[h + s] += 1
+            self.used.add(h + s)
 
 
 def powers(n: int) -> list[int]:

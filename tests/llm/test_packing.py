@@ -52,7 +52,7 @@ def test_level_rule_is_the_smallest_sum_of_squares():
     lv = packing.Levels(size)
 
     def after(h, s):
-        n = lv.count.copy()
+        n = np.array(lv.count)
         if h:
             n[h] -= 1
         for level in (h + s,) if h + s < size else (h + s - size,):
@@ -63,6 +63,7 @@ def test_level_rule_is_the_smallest_sum_of_squares():
         s = int(s)
         while s:
             levels = [0, *np.flatnonzero(lv.count).tolist()]
+            assert lv.used == set(levels[1:])
             best = {(h, h + s > size): after(h, s) for h in levels}
             h, cut = lv.place(s)
             assert best[h, cut] == min(best.values()) and not (cut and min(best.values()) in [v for k, v in best.items() if not k[1]])
