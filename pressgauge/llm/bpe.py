@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 
 import numpy as np
 
@@ -11,6 +12,14 @@ import numpy as np
 CACHE = 400_000
 # A space between other white space is merged with its neighbours, so there the text cannot be cut.
 _MERGES = re.compile(r"\s \s|\s \Z|\A \s|\A \Z")
+# Most texts have no white space but single blanks and line ends, which is quick to see.
+_OTHER = re.compile(r"[^\S \n]")
+
+
+def _merges(text: str) -> bool:
+    if "  " in text or "\n " in text or text[0] == " " or text[-1] == " " or _OTHER.search(text):
+        return bool(_MERGES.search(text))
+    return False
 
 
 class _Ids(dict):
@@ -20,12 +29,15 @@ class _Ids(dict):
 
     def __missing__(self, piece: str) -> bytes:
         # A line end between words and a mark after a letter are pieces of their own: joined, never remembered together.
-        a, nl, b = piece.partition("\n")
-        if nl and a and b and not a[-1].isspace() and not b[0].isspace():
-            return self[a] + self["\n"] + self[b]
+        if not piece:
+            return b""
+        if "\n" in piece:
+            a, _, b = piece.partition("\n")
+            if a and b and not a[-1].isspace() and not b[0].isspace():
+                return self[a] + self["\n"] + self[b]
         if len(piece) > 2 and piece[-1] in ".," and piece[-2].isalpha():
             return self[piece[:-1]] + self[piece[-1]]
-        ids = np.array(self.encode(piece), np.uint32).tobytes()
+        ids = array("I", self.encode(piece)).tobytes()
         if len(piece) <= 64:
             if len(self) >= CACHE:
                 self.clear()
@@ -47,12 +59,12 @@ def encoder(path: str):
         for t in texts:
             if not t:
                 out.append(np.zeros(0, np.uint32))
-            elif _MERGES.search(t):
+            elif _merges(t):
                 out.append(np.array(ids.encode(t), np.uint32))
             else:
-                first, *rest = t.split(" ")
-                got = b"".join([ids[first] if first else b"", *[ids[" " + w] for w in rest]])
-                out.append(np.frombuffer(got, np.uint32))
+                # Pieces keep the blank before them; a mark that the text does not hold cuts there.
+                pieces = t.replace(" ", "\0 ").split("\0") if "\0" not in t else [x if i == 0 else " " + x for i, x in enumerate(t.split(" "))]
+                out.append(np.frombuffer(b"".join(map(ids.__getitem__, pieces)), np.uint32))
         return out
 
     return encode

@@ -1,14 +1,14 @@
 """Packing: documents cut into pieces that fill fixed windows, placed online by the sum-of-squares rule.
 
 A level array counts partially filled windows by fill level. A document of size s goes to the level h, or to a new window,
-that makes the sum of squared counts smallest afterwards; where filling a window up with its first part and opening one for
-the rest makes the sum smaller still, it is cut there, and the rest is placed by the same rule. So few windows are open at
-any time. Whole windows' worth of a long document are cut off first.
+that makes the sum of squared counts smallest afterwards. Where filling a window up with its first part and opening one for
+the rest makes the sum smaller by more than CUT, it is cut there, and the rest is placed by the same rule; so a few hundred
+windows are open at any time. Whole windows' worth of a long document are cut off first.
 
 Each task packs its own rows. Windows that are still open at its end go on, whole, to a second and a third stage, where the
 open windows of 16 and then of 256 tasks are placed by the same rule into one level array. Only what is open after that is
 joined by cutting, and its last rest is cut into windows whose sizes are powers of two, which need no padding. What moves
-is a few windows a task, whatever the task's size.
+is a few hundred windows a task, whatever the task's size.
 
 Null text counts as empty and packs its end id alone; repeated rows are packed each; ids may be null; texts of any length
 are cut into whole windows as they come; other columns are ignored.
@@ -28,6 +28,8 @@ from .common import parts_of, saved
 
 WINDOW = 1024
 END = 0
+#: What a cut counts beside the change of the sum (a window at a level that has none changes it by 1).
+CUT = 2
 #: Tasks whose open windows meet in one level array of the next stage.
 MEET = 16
 
@@ -36,33 +38,34 @@ class Levels:
     """Open windows by fill level; ``place`` gives (the level a piece joins, 0 for a new window, whether it is cut there)."""
 
     def __init__(self, size: int):
-        self.size, self.count, self.used = size, [0] * (size + 1), set()
+        self.size, self.count = size, np.zeros(size + 1, np.int64)
+        self.least = np.full(size + 1, -(1 << 40))  # counts, and far below any where there is no window to join
         self.open: list[list] = [[] for _ in range(size + 1)]
 
     def place(self, s: int) -> tuple[int, bool]:
-        n, c = self.count, self.size
+        n, m, c = self.count, self.least, self.size
         # (change of the sum, cut or not, less the level): on ties whole before cut, then the fullest window.
         best = (2 * n[s] + 1 if s < c else 0, 0, 0)
-        for h in self.used:
-            t = h + s
-            if t < c:
-                move = (2 * (n[t] - n[h] + 1), 0, -h)
-            elif t == c:
-                move = (1 - 2 * n[h], 0, -h)
-            else:  # the window fills up, and one opens at the level of the rest
-                move = (2 - 2 * n[h] + 2 * (n[t - c] - (t - c == h)), 1, -h)
-            if move < best:
-                best = move
+        if s < c and n[c - s]:
+            best = min(best, (1 - 2 * n[c - s], 0, s - c))
+        if s < c - 1:  # level h to h + s: the change is 2 (n[h + s] - n[h] + 1); from the fullest down
+            change = n[c - 1 : s : -1] - m[c - s - 1 : 0 : -1]
+            i = int(change.argmin())
+            best = min(best, (2 * int(change[i]) + 2, 0, i + 1 + s - c))
+        if s > 1:  # level h fills up, and one opens at h + s - c: 2 (n[h + s - c] - n[h] + 1)
+            change = n[s - 1 : 0 : -1] - m[c - 1 : c - s : -1]
+            i = int(change.argmin())
+            best = min(best, (2 * int(change[i]) + 2 + CUT, 1, i + 1 - c))
         return -best[2], best[1] == 1
 
     def move(self, h: int, s: int) -> None:
+        n, m = self.count, self.least
         if h:
-            self.count[h] -= 1
-            if not self.count[h]:
-                self.used.remove(h)
+            n[h] -= 1
+            m[h] = n[h] or -(1 << 40)
         if h + s < self.size:
-            self.count[h + s] += 1
-            self.used.add(h + s)
+            n[h + s] += 1
+            m[h + s] = n[h + s]
 
 
 def powers(n: int) -> list[int]:
