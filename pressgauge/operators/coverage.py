@@ -52,7 +52,8 @@ def near_links(prints: DataFrame, key: str, max_distance: int = 3) -> DataFrame:
     cuts = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
     block = lambda i: F.shiftrightunsigned("simhash", cuts[i][0]).bitwiseAND(F.lit((1 << cuts[i][1]) - 1))
     keys = [(block(i) * F.lit(1 << 13) + block(j)) * F.lit(16) + F.lit(k) for k, (i, j) in enumerate((i, j) for i in range(5) for j in range(i + 1, 5))]
-    e = prints.select("simhash").distinct().select("simhash", F.explode(F.array(*keys)).alias("key"))
+    values = saved(prints.select("simhash").distinct(), "prints")  # read by both sides
+    e = values.select("simhash", F.explode(F.array(*keys)).alias("key"))
     a, b = e.withColumnRenamed("simhash", "a"), e.withColumnRenamed("simhash", "b")
     hit = a.join(b, "key").filter(F.col("a") < F.col("b")).withColumn("distance", hamming(F.col("a"), F.col("b")))
     return hit.filter(F.col("distance") <= max_distance).select("a", "b", "distance").distinct()

@@ -19,6 +19,7 @@ from ..operators import rollup as R
 from ..operators import search as S
 from ..sources import listings as L
 from ..sources import pagestore as P
+from ..sources.intermediate import saved
 from ..sources.tables import articles, runs, table
 
 AS_OF = "2024-01-31"
@@ -496,7 +497,7 @@ def near_dup_pairs(spark, d):
 
 
 def near_dup_clusters(spark, d):
-    p = _prints(spark, d)
+    p = saved(_prints(spark, d), "prints")
     comp = C.components(p.select(F.col("simhash").alias("node")), C.near_links(p, "doc_id"))
     of = p.select("doc_id", F.col("simhash").alias("node")).join(comp, "node").select("doc_id", "component")
     return of.join(of.groupBy("component").agg(F.min("doc_id").alias("cluster_id")), "component").select("doc_id", "cluster_id")
