@@ -31,3 +31,24 @@ def test_stages_keep_columns_and_clean_rows(spark, tmp_path):
     assert {r.doc_id for r in docs.collect()} == last
     assert docs.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).filter("n <> m").count() == 0
     assert kept["toxicity"][1] > 0.8 * kept["toxicity"][0]
+
+
+def test_odd_tables_pass_every_stage(spark, tmp_path):
+    """Nulls in every column, empty and repeated rows, columns named like the stages' own, and no rows at all."""
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").limit(40)
+    for name in ("score", "node", "class_id", "part", "spans", "text_key"):
+        docs = docs.withColumn(name, F.lit("x"))
+    null = docs.limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema])
+    blank = docs.limit(1).withColumn("doc_id", F.lit(-1).cast("long")).withColumn("text", F.lit(""))
+    for table, n in ((docs.unionByName(null).unionByName(blank).unionByName(blank), 20), (docs.limit(0), 0)):
+        table.write.parquet(str(tmp_path / f"in{n}"))
+        now = spark.read.parquet(str(tmp_path / f"in{n}"))
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, now, d)
+            assert out.columns == table.columns, name
+            out.write.parquet(str(tmp_path / f"{name}{n}"))
+            now = spark.read.parquet(str(tmp_path / f"{name}{n}"))
+            assert now.count() >= n and (n == 0 or now.filter("doc_id is null").count() == now.filter("doc_id = -1").count() == 1 or name == "toxicity"), name
+        last = corpus_pipeline.STAGES[-1][1](spark, now, d)
+        assert last.select(F.coalesce("doc_id", F.lit(-9))).distinct().count() == now.select(F.coalesce("doc_id", F.lit(-9))).distinct().count()
