@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,19 @@ __all__ = ["hot_join", "hot_keys", "new_path", "parts_of", "released", "saved",
 FAN_IN, CHUNK = 32, 65_536
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Rows that go to a Python worker at once, for operators whose workers hold several arrays per text byte."""
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """Rows that go to a Python worker at once while the block runs, for workers that hold several arrays per text byte.
+
+    The session's own setting is back afterwards, so what needs small batches must have been written by then.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, rows)
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(int(before), rows) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def parts_of(spark: SparkSession) -> int:

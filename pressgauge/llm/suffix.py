@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches
+from .common import released, saved, small_batches
 from .minhash import _batches
 from .shingles import mix, powers, prefix_hash
 
@@ -351,9 +351,8 @@ def kept_parts(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, list
     return removed, runs, left
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes)."""
-    small_batches(docs.sparkSession)
+def _removed(docs: DataFrame, text_col: str) -> DataFrame:
+    """(k1, k2, n_removed, n_spans, sha) of the texts that lose bytes, written."""
     found = saved(repeated(docs, text_col), "contexts")
     texts = once_a_task(docs, text_col)
     whole = found.filter("whole").select("h", "c", F.lit(0).alias("begin"), (F.col("last") - F.col("first") + WINDOW).cast("int").alias("stop"))
@@ -371,7 +370,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["k1", "k2", "n_removed", "n_spans", "sha"])
 
-    done = texts.join(spans, ["k1", "k2"]).select("k1", "k2", "text", "spans").mapInArrow(cut, "k1 long, k2 long, n_removed long, n_spans long, sha string").dropDuplicates(["k1", "k2"])
+    out = saved(texts.join(spans, ["k1", "k2"]).select("k1", "k2", "text", "spans").mapInArrow(cut, "k1 long, k2 long, n_removed long, n_spans long, sha string").dropDuplicates(["k1", "k2"]), "cut")
+    released(found)
+    return out
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes)."""
+    with small_batches(docs.sparkSession):
+        done = _removed(docs, text_col)
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(t).alias("k1"), F.xxhash64(F.lit(1), t).alias("k2"), F.octet_length(t).cast("long").alias("n_bytes"), F.sha2(t, 256).alias("all"))
     zero = F.lit(0).cast("long")
