@@ -11,8 +11,9 @@ _S = lambda c: f"CAST(floor(epoch({c})) AS BIGINT)"
 _US = lambda c: f"epoch_us({c})"
 _WITH = f"""WITH runs AS ({_EVENT_RUNS}), idx AS ({_INDEX}),
 totals AS (SELECT outlet, CAST({_LOCAL(_EFF)} AS DATE) AS day, count(*) AS total_articles FROM idx GROUP BY 1, 2),
-r AS (SELECT outlet, {_LOCAL('started_at')} AS ts, {_US('started_at')} - {_US('lag(started_at) OVER (PARTITION BY outlet ORDER BY started_at, run_id)')} AS gap FROM runs WHERE ok),
-cov AS (SELECT outlet, CAST(ts AS DATE) AS day, min(ts) AS first_run, max(ts) AS last_run, coalesce(max(gap), 356400000000) AS max_gap_us FROM r GROUP BY 1, 2),
+good AS (SELECT outlet, {_LOCAL('started_at')} AS ts, {_US('started_at')} AS us, row_number() OVER (PARTITION BY outlet ORDER BY started_at, run_id) AS nth FROM runs WHERE ok),
+cov AS (SELECT g.outlet, CAST(g.ts AS DATE) AS day, min(g.ts) AS first_run, max(g.ts) AS last_run, coalesce(max(g.us - p.us), 356400000000) AS max_gap_us
+  FROM good g LEFT JOIN good p ON p.outlet = g.outlet AND p.nth + 1 = g.nth GROUP BY 1, 2),
 rolled AS (SELECT t.outlet, t.day, total_articles, coalesce(t.day < DATE '2024-01-31' AND first_run <= CAST(t.day AS TIMESTAMP) + INTERVAL 90 MINUTE
   AND last_run >= CAST(t.day AS TIMESTAMP) + INTERVAL 1 DAY - INTERVAL 90 MINUTE AND max_gap_us <= 5400000000, FALSE) AS complete
   FROM totals t LEFT JOIN cov c ON t.outlet = c.outlet AND t.day = c.day)
