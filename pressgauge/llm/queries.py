@@ -77,4 +77,10 @@ def op10_lm_scoring(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op3_pii, op4_ann, op5_warc, op6_packing, op7_suffix_dedup, op8_toxicity, op9_minhash, op10_lm_scoring, pipeline)}
-ORACLES: dict[str, str] = {}
+# The others are tested against brute force, round trips or held-out accuracy: a model, an alignment, a tokenizer or a template is not SQL.
+ORACLES: dict[str, str] = {
+    "op5_warc": """WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+      f AS (SELECT *, strlen(html) AS n, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+      SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to, url AS target_uri FROM f""",
+}

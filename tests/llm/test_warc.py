@@ -39,3 +39,12 @@ def test_whole_table_round_trip(spark, tmp_path):
 
 def test_empty(spark, tmp_path):
     assert run(spark, spark.createDataFrame([], S), tmp_path) == []
+
+
+def test_query_equals_sql(spark):
+    from compare import both
+
+    from pressgauge.llm import queries
+
+    got, want = both(spark, "/root/testdata/sf0.001", queries.op5_warc, queries.ORACLES["op5_warc"])
+    assert got == want
