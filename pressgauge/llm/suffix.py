@@ -1,12 +1,13 @@
-"""Removal of byte strings of 200 that start anywhere else, by suffix arrays over content-defined anchors.
+"""Removal of byte strings of 200 that start anywhere else, by suffix arrays over the texts around shared anchors.
 
 Every 200-byte window owns an anchor: the 32-byte string in it with the smallest hash, the leftmost on ties. Equal windows
 own equal anchors at the same offset, so equal windows meet under their anchor's hash wherever they lie. Windows with one
-anchor form a context (the bytes they cover together). Contexts become strings of two symbols, anchor and context; linear
-grouping construction sorts the suffixes of a block of such strings, without recursive renaming: groups of suffixes with
-one Lyndon prefix are processed in descending order through previous-smaller pointers, then each group's order is emitted.
-Neighbours that share both symbols are repeated contexts; neighbours that share only the anchor have their windows compared.
-A suffix array over all bytes in Python would cost about 20 us a byte; anchors are about one in 85 bytes.
+anchor form a context (the bytes they cover together). Contexts that occur twice as they are get counted by their hash,
+within tasks first, since a third of all rows may be copies of one text. Different contexts under one anchor are read as
+strings of eight-byte symbols that start at the anchor, and linear grouping construction sorts the suffixes of a block of
+such strings, without recursive renaming: groups of suffixes with one Lyndon prefix are processed in descending order
+through previous-smaller pointers, then each group's order is emitted. A window holds 24 whole symbols; suffixes next to
+each other in that order with 24 symbols in common, and the same eight bytes around them, are equal windows, byte by byte.
 
 Windows never cross texts. Null text is empty; texts under 200 bytes lose nothing; repeated rows are copies of each other.
 """
@@ -26,8 +27,11 @@ from .minhash import _batches
 from .shingles import mix, powers, prefix_hash
 
 WINDOW, GRAM = 200, 32
+#: Bytes of a symbol, and whole symbols that every window holds from its first symbol's start.
+SYMBOL = 8
+CORE = WINDOW // SYMBOL - 1
 _LOW = np.uint64(0xFFFFFF)
-#: Contexts whose suffixes are sorted together, and occurrences combined before they are sent.
+#: Contexts counted together (half as many have their suffixes sorted together), and occurrences combined before they are sent.
 BLOCK, COMBINE = 10_000, 150_000
 #: Characters a worker hashes at once, a few dozen bytes of arrays each.
 CHARS = 250_000
@@ -123,6 +127,51 @@ def anchors(raw: list[bytes]) -> tuple[np.ndarray, ...]:
         return doc, first - base, last - base, place - base, h[place].view(np.int64), c.view(np.int64)
 
 
+def equal_windows(body: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the body, offset) of every window that starts elsewhere in ``body`` too, symbols starting at ``at``, by number and offset."""
+    raw = np.frombuffer(b"".join(body), np.uint8)
+    size = np.array([len(x) for x in body], np.int64)
+    base = np.cumsum(size) - size
+    lead = at.astype(np.int64) % SYMBOL
+    k = (size - lead) // SYMBOL
+    # Symbols of all bodies, one slot of 0 after each body's own.
+    own = np.repeat(np.arange(len(body)), k + 1)
+    slot = np.arange(len(own)) - np.repeat(np.cumsum(k + 1) - (k + 1), k + 1)
+    b = lead[own] + slot * SYMBOL
+    real = slot < k[own]
+    value = np.zeros(len(own), np.uint64)
+    value[real] = raw[(base[own] + b)[real][:, None] + np.arange(SYMBOL)].view(np.uint64)[:, 0]
+    t = np.ones(len(own) + 1, np.int64)
+    t[:-1][real] = 2 + np.unique(value[real], return_inverse=True)[1]
+    t[-1] = 0
+    order = np.array(gsaca(t.tolist()))[1:]
+    order = order[slot[order] + CORE <= k[own[order]]]
+    one, two = order[:-1], order[1:]
+    alike = np.arange(len(one))  # neighbours with a common prefix of so many symbols
+    for i in range(CORE):
+        alike = alike[t[one[alike] + i] == t[two[alike] + i]]
+    same = np.zeros(len(order) + 1, bool)
+    same[alike + 1] = True
+    repeat = same[:-1] | same[1:]
+    group, order = np.cumsum(~same[:-1])[repeat], order[repeat]
+    # The windows around each such run of symbols: r bytes before it and the rest after it.
+    r = np.arange(SYMBOL)
+    s = (b[order][:, None] - r).ravel()
+    o, g, r = np.repeat(own[order], SYMBOL), np.repeat(group, SYMBOL), np.tile(r, len(order))
+    fits = (s >= 0) & (s + WINDOW <= size[o])
+    s, o, g, r = s[fits], o[fits], g[fits], r[fits]
+    q = np.arange(SYMBOL)
+    around = raw[(base[o] + s)[:, None] + np.where(q < r[:, None], q, q + CORE * SYMBOL)].view(np.uint64)[:, 0]
+    rank = np.lexsort((around, r, g))
+    eq = (g[rank][1:] == g[rank][:-1]) & (r[rank][1:] == r[rank][:-1]) & (around[rank][1:] == around[rank][:-1])
+    hit = np.zeros(len(s), bool)
+    hit[rank[1:][eq]] = True
+    hit[rank[:-1][eq]] = True
+    s, o = s[hit], o[hit]
+    rank = np.lexsort((s, o))
+    return o[rank], s[rank]
+
+
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.xxhash64(t).alias("k1"), F.xxhash64(F.lit(1), t).alias("k2"), t.alias("text"))
@@ -169,40 +218,16 @@ def contexts(docs: DataFrame, text_col: str) -> DataFrame:
 _FOUND = "h long, c long, whole boolean, k1 long, k2 long, first int, last int, place int"
 
 
-def _sorted_block(rows: list[np.ndarray]) -> list[np.ndarray] | None:
-    """Repeated anchors of a block of rows sorted by (h, c): (h, c, whole, k1, k2, first, last, place) by the suffix array."""
+def _counted(rows: list[np.ndarray]) -> list[np.ndarray] | None:
+    """Repeated anchors of a block of rows sorted by (h, c): (h, c, whole, k1, k2, first, last, place)."""
     h, c, n = rows[:3]
     # Combined rows of one context from several tasks are one context.
     new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]))
     n = np.add.reduceat(n, new)
-    rows = [r[new] for r in rows]
-    h, c = rows[0], rows[1]
+    h, c, *rest = (rows[i][new] for i in (0, 1, 3, 4, 5, 6, 7))
     run = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     keep = np.repeat(np.add.reduceat(n, run) > 1, np.diff(np.append(run, len(h))))
-    if not keep.any():
-        return None
-    rows, n = [r[keep] for r in rows], n[keep]
-    h, c = rows[0], rows[1]
-    ids = np.repeat(np.arange(len(h)), np.where(n > 1, 2, 1))  # a repeated context stands twice
-    hr, cr = np.unique(h, return_inverse=True)[1], np.unique(c, return_inverse=True)[1]
-    t = np.ones(3 * len(ids) + 1, np.int64)
-    t[-1] = 0
-    t[:-1:3] = 2 + hr[ids]
-    t[1:-1:3] = 2 + len(h) + cr[ids]
-    order = np.array(gsaca(t.tolist()))
-    order = order[(order % 3 == 0) & (order < 3 * len(ids))] // 3
-    a, b = ids[order[:-1]], ids[order[1:]]
-    anchor = h[a] == h[b]
-    both = anchor & (c[a] == c[b])
-    whole, apart = np.zeros(len(h), bool), np.zeros(len(h), bool)
-    whole[a[both]] = True
-    for x in (a, b):
-        apart[x[anchor & ~both]] = True
-    # A context whose neighbours are its own copies still has others under its anchor to be compared with.
-    runs = np.unique(h, return_inverse=True)[1]
-    apart = np.bincount(runs, apart)[runs] > 0
-    out = [h, c, whole, *rows[3:]]
-    return [x[whole | apart] for x in out]
+    return [x[keep] for x in (h, c, n > 1, *rest)] if keep.any() else None
 
 
 def repeated(docs: DataFrame, text_col: str) -> DataFrame:
@@ -229,7 +254,7 @@ def repeated(docs: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches):
         for cols in blocks(batches):
-            if len(cols[0]) and (got := _sorted_block(cols)):
+            if len(cols[0]) and (got := _counted(cols)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(got, schema, strict=True)], schema=schema)
 
     return rows.mapInArrow(run, _FOUND)
@@ -278,29 +303,14 @@ def compared(found: DataFrame, texts: DataFrame) -> DataFrame:
     def shared(cols):
         h, c, whole, at, body = cols
         new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]))
-        h, c, whole, at, body = h[new], c[new], whole[new], at[new], [body[i] for i in new]
-        with np.errstate(over="ignore"):
-            b = np.frombuffer(b"".join(body), np.uint8)
-            p, inv = prefix_hash(b), powers(len(b))[1]
-            size = np.array([len(x) for x in body])
-            n = size - WINDOW + 1
-            own = np.repeat(np.arange(len(body)), n)
-            off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            start = (np.cumsum(size) - size)[own] + off
-            w = mix((p[start + WINDOW] - p[start]) * inv[start])
-        rel = off - at[own]  # from the anchor
-        group = np.unique(h, return_inverse=True)[1][own]
-        order = np.lexsort((w, rel, group))
-        eq = (group[order][1:] == group[order][:-1]) & (rel[order][1:] == rel[order][:-1]) & (w[order][1:] == w[order][:-1])
-        hit = np.zeros(len(w), bool)
-        hit[order[1:][eq]] = True
-        hit[order[:-1][eq]] = True
-        hit &= ~whole[own]  # whole contexts are covered as they are
-        k = np.flatnonzero(hit)
-        if not len(k):
+        h, c, whole = h[new], c[new], whole[new]
+        own, off = equal_windows([body[i] for i in new], at[new])
+        keep = ~whole[own]  # whole contexts are covered as they are
+        own, off = own[keep], off[keep]
+        if not len(own):
             return None
-        edge = np.flatnonzero(np.concatenate([[True], (own[k[1:]] != own[k[:-1]]) | (off[k[1:]] != off[k[:-1]] + 1)]))
-        lo, hi = k[edge], k[np.append(edge[1:], len(k)) - 1]
+        edge = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (off[1:] != off[:-1] + 1)]))
+        lo, hi = edge, np.append(edge[1:], len(own)) - 1
         o = own[lo]
         return pa.RecordBatch.from_arrays([pa.array(h[o]), pa.array(c[o]), pa.array(off[lo].astype(np.int32)), pa.array((off[hi] + WINDOW).astype(np.int32))], names=["h", "c", "begin", "stop"])
 

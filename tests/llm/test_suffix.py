@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -16,6 +17,38 @@ def test_suffix_array(t):
     assert S.gsaca(t) == sorted(range(len(t)), key=lambda i: t[i:])
 
 
+def windows(bodies, at, w=200):
+    held = [(i, k, b[k : k + w], (k - a) % S.SYMBOL) for i, (b, a) in enumerate(zip(bodies, at, strict=True)) for k in range(len(b) - w + 1)]
+    n = Counter((x, r) for _, _, x, r in held)
+    return [(i, k) for i, k, x, r in held if n[x, r] > 1]
+
+
+def contexts_of(rng, letters):
+    """Cuts of one text with the same place marked in each, some with bytes changed."""
+    base, bodies, at = bytes(rng.choice(letters) for _ in range(600)), [], []
+    for _ in range(8):
+        n = rng.randint(200, 340)
+        start = rng.randint(0, 300 - n // 2)
+        b = bytearray(base[start : start + n])
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            b[rng.randrange(n)] = ord("Q")
+        bodies.append(bytes(b))
+        at.append(300 - start)
+    return bodies, np.array(at)
+
+
+def test_windows_by_suffix_order(monkeypatch):
+    rng = random.Random(4)
+    cases = [contexts_of(rng, letters) for letters in (b"ab", b"abcdefgh ", b"x") for _ in range(20)]
+    for bodies, at in cases:
+        own, off = S.equal_windows(bodies, at)
+        assert list(zip(own.tolist(), off.tolist(), strict=True)) == windows(bodies, at)
+    assert not len(S.equal_windows([b"x" * 199], np.array([3]))[0])
+    # The suffix order finds them: in the order of the text it misses most.
+    monkeypatch.setattr(S, "gsaca", lambda t: [len(t) - 1, *range(len(t) - 1)])
+    assert sum(len(S.equal_windows(*c)[0]) for c in cases) < sum(len(windows(*c)) for c in cases) / 2
+
+
 def brute(docs, w=200):
     raw = [(i, (t or "").encode()) for i, t in docs]
     seen = Counter(b[s : s + w] for _, b in raw for s in range(len(b) - w + 1))
