@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, saved, small_batches
+from .common import hot_join, hot_keys, released, saved, small_batches
 from .minhash import _batches
 from .shingles import mix, powers, prefix_hash
 
@@ -33,6 +33,8 @@ CORE = WINDOW // SYMBOL - 1
 _LOW = np.uint64(0xFFFFFF)
 #: Contexts counted together (half as many have their suffixes sorted together), and occurrences combined before they are sent.
 BLOCK, COMBINE = 10_000, 150_000
+#: Contexts of one anchor that meet in one place; those of crowded anchors are dealt in groups of about so many.
+CROWD = 1_000
 #: Characters a worker hashes at once, a few dozen bytes of arrays each.
 CHARS = 250_000
 
@@ -215,23 +217,24 @@ def contexts(docs: DataFrame, text_col: str) -> DataFrame:
     return _keyed(docs, text_col).mapInArrow(run, _ROW)
 
 
-_FOUND = "h long, c long, whole boolean, k1 long, k2 long, first int, last int, place int"
+_FOUND = "h long, c long, whole boolean, m long, k1 long, k2 long, first int, last int, place int"
 
 
 def _counted(rows: list[np.ndarray]) -> list[np.ndarray] | None:
-    """Repeated anchors of a block of rows sorted by (h, c): (h, c, whole, k1, k2, first, last, place)."""
+    """Repeated anchors of a block of rows sorted by (h, c): (h, c, whole, m, k1, k2, first, last, place), ``m`` contexts an anchor."""
     h, c, n = rows[:3]
     # Combined rows of one context from several tasks are one context.
     new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]))
     n = np.add.reduceat(n, new)
     h, c, *rest = (rows[i][new] for i in (0, 1, 3, 4, 5, 6, 7))
     run = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    keep = np.repeat(np.add.reduceat(n, run) > 1, np.diff(np.append(run, len(h))))
-    return [x[keep] for x in (h, c, n > 1, *rest)] if keep.any() else None
+    m = np.diff(np.append(run, len(h)))
+    keep, m = np.repeat(np.add.reduceat(n, run) > 1, m), np.repeat(m, m)
+    return [x[keep] for x in (h, c, n > 1, m, *rest)] if keep.any() else None
 
 
 def repeated(docs: DataFrame, text_col: str) -> DataFrame:
-    """Contexts under anchors that occur more than once; ``whole`` where the context itself does."""
+    """Contexts under anchors that occur more than once; ``whole`` where the context itself does, ``m`` contexts under its anchor."""
     rows = contexts(docs, text_col)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "h").sortWithinPartitions("h", "c")
@@ -243,7 +246,7 @@ def repeated(docs: DataFrame, text_col: str) -> DataFrame:
         for b in batches:
             held.append([b.column(i).to_numpy() for i in range(8)])
             n += b.num_rows
-            if n >= BLOCK:
+            if n >= BLOCK and held[0][0][0] != held[-1][0][-1]:
                 cols = [np.concatenate(x) for x in zip(*held, strict=True)]
                 cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last anchor may go on
                 if cut:
@@ -279,57 +282,119 @@ def once_a_task(docs: DataFrame, text_col: str) -> DataFrame:
     return _keyed(docs, text_col).filter(F.octet_length("text") >= WINDOW).mapInArrow(run, "k1 long, k2 long, text string")
 
 
-_PART = "h long, c long, begin int, stop int"
+_PART = "h long, c long, begin int, stop int, core long, left long, right long, holds int, asks int"
+_PARTS = pa.schema([(a, pa.int32() if k == "int" else pa.int64()) for a, k in (x.split() for x in _PART.split(", "))])
 
 
-def compared(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """Parts (begin, stop) of contexts, from their first byte, that windows shared with another context of the anchor cover."""
-    mixed = found.join(found.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h"), "h")
-    cut = mixed.join(texts, ["k1", "k2"]).select("h", "c", "whole", "first", "last", "place", "text")
+def compared(found: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parts (h, c, begin, stop) of contexts, from their first byte, that windows shared with another context of the anchor cover.
+
+    A crowded anchor's contexts are dealt in groups. Windows that a group's suffix order does not settle meet the other groups
+    by hash, eight to a row of their common symbols; a settled window stands once a block of groups, so a passage in most of
+    the rows adds a row a block. Also returned: the written rows, for release.
+    """
+    groups = F.ceil(F.col("m") / CROWD)
+    cut = found.filter("m > 1").join(texts, ["k1", "k2"]).select("h", "c", "whole", "first", "last", "place", "text", F.pmod("c", groups).cast("int").alias("salt"), (groups > 1).alias("crowd"))
 
     def slices(batches):
         for b in batches:
-            h, c, whole, first, last, place = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            first, last, place = (b.column(i).to_numpy() for i in (3, 4, 5))
             body, held, raw = [], None, b""
             for i, t in enumerate(b.column(6)):
                 if (s := t.as_py()) is not held:
                     held, raw = s, s.encode("utf-8", "surrogatepass")
                 body.append(raw[first[i] : last[i] + WINDOW])
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(whole), pa.array((place - first).astype(np.int32)), pa.array(body, pa.binary())], names=["h", "c", "whole", "at", "body"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in (0, 7, 1, 2, 8)), pa.array((place - first).astype(np.int32)), pa.array(body, pa.binary())], names=["h", "salt", "c", "whole", "crowd", "at", "body"])
 
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = cut.mapInArrow(slices, "h long, c long, whole boolean, at int, body binary").repartition(parts, "h").sortWithinPartitions("h", "c")
+    rows = cut.mapInArrow(slices, "h long, salt int, c long, whole boolean, crowd boolean, at int, body binary").repartition(parts, "h", "salt").sortWithinPartitions("h", "salt", "c")
 
     def shared(cols):
-        h, c, whole, at, body = cols
+        h, _, c, whole, crowd, at, body = cols
         new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]))
-        h, c, whole = h[new], c[new], whole[new]
-        own, off = equal_windows([body[i] for i in new], at[new])
+        h, c, whole, crowd, at, body = h[new], c[new], whole[new], crowd[new], at[new], [body[i] for i in new]
+        own, off = equal_windows(body, at)
+        if crowd.any():
+            yield from unsettled(h, c, whole, at, body, np.flatnonzero(crowd), own, off)
         keep = ~whole[own]  # whole contexts are covered as they are
         own, off = own[keep], off[keep]
-        if not len(own):
-            return None
-        edge = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (off[1:] != off[:-1] + 1)]))
-        lo, hi = edge, np.append(edge[1:], len(own)) - 1
-        o = own[lo]
-        return pa.RecordBatch.from_arrays([pa.array(h[o]), pa.array(c[o]), pa.array(off[lo].astype(np.int32)), pa.array((off[hi] + WINDOW).astype(np.int32))], names=["h", "c", "begin", "stop"])
+        if len(own):
+            lo = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (off[1:] != off[:-1] + 1)]))
+            hi = np.append(lo[1:], len(own)) - 1
+            o = own[lo]
+            yield h[o], c[o], off[lo], off[hi] + WINDOW
+
+    def unsettled(h, c, whole, at, body, few, own, off):
+        """Rows of the contexts ``few``, one for each run of CORE symbols: its hash, the eight bytes before and after it, and two
+        bit sets over the windows around it, those to be counted (not met in the block, or the first of those met alike) and
+        those that ask whether they are met elsewhere."""
+        size = np.array([len(body[i]) for i in few])
+        pad = bytes(SYMBOL)
+        raw = np.frombuffer(pad + pad.join(body[i] for i in few) + pad, np.uint8)
+        lead = at[few] % SYMBOL
+        n = np.maximum((size - lead) // SYMBOL - CORE + 1, 0)
+        o = np.repeat(np.arange(len(few)), n)
+        b = lead[o] + SYMBOL * (np.arange(len(o)) - np.repeat(np.cumsum(n) - n, n))
+        start = (np.cumsum(size + SYMBOL) - size)[o] + b
+        with np.errstate(over="ignore"):
+            p, inv = prefix_hash(raw), powers(len(raw))[1]
+            core = mix(mix((p[start + CORE * SYMBOL] - p[start]) * inv[start]) + h[few][o].view(np.uint64))
+        q = np.arange(SYMBOL)
+        left = raw[(start - SYMBOL)[:, None] + q].view(np.uint64)[:, 0]
+        right = raw[(start + CORE * SYMBOL)[:, None] + q].view(np.uint64)[:, 0]
+        place = b[:, None] - q
+        real = (place >= 0) & (place + WINDOW <= size[o][:, None])
+        longest = max(map(len, body))
+        met = real & np.isin(few[o][:, None] * longest + place, own * longest + off)
+        i, r = np.nonzero(met)
+        around = raw[(start[i] - r)[:, None] + np.where(q < r[:, None], q, q + CORE * SYMBOL)].view(np.uint64)[:, 0]
+        rank = np.lexsort((around, r, core[i]))
+        x, y, z = core[i][rank], r[rank], around[rank]
+        first = rank[np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1])]))] if len(rank) else rank
+        holds = real & ~met
+        asks = (holds & ~whole[few][o][:, None]) @ (1 << q)
+        holds[i[first], r[first]] = True
+        holds = holds @ (1 << q)
+        k = np.flatnonzero(holds)
+        f = few[o][k]
+        yield h[f], c[f], b[k], None, core[k].view(np.int64), left[k].view(np.int64), right[k].view(np.int64), holds[k], asks[k]
+
+    def batch(h, c, *rest):
+        cols = (h, c, *rest, *[None] * (len(_PARTS) - 2 - len(rest)))
+        cols = [pa.nulls(len(h), f.type) if x is None else pa.array(x.astype(f.type.to_pandas_dtype())) for x, f in zip(cols, _PARTS, strict=True)]
+        return pa.RecordBatch.from_arrays(cols, schema=_PARTS)
 
     def run(batches):
         held: list = []
         n = 0
         for b in batches:
-            held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
+            held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(7)])
             n += b.num_rows
             if n >= BLOCK // 2:
                 cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-                cut_ = int(np.searchsorted(cols[0], cols[0][-1]))
-                if cut_ and (got := shared([c[:cut_] for c in cols])):
-                    yield got
-                held, n = [[c[cut_:] for c in cols]], len(cols[0]) - cut_
-        if held and n and (got := shared([np.concatenate(x) for x in zip(*held, strict=True)])):
-            yield got
-
-    return rows.mapInArrow(run, _PART)
+                edge = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))
+                at = int(edge[-1]) + 1 if len(edge) else 0  # the last group may go on
+                if at:
+                    yield from (batch(*x) for x in shared([c[:at] for c in cols]))
+                held, n = [[c[at:] for c in cols]], len(cols[0]) - at
+        if held and n:
+            yield from (batch(*x) for x in shared([np.concatenate(x) for x in zip(*held, strict=True)]))
+
+    out = saved(rows.mapInArrow(run, _PART), "windows")
+    part = ["h", "c", "begin", "stop"]
+    return out.filter("core is null").select(part).unionByName(met_elsewhere(out.filter("core is not null"))), out
+
+
+def met_elsewhere(cores: DataFrame) -> DataFrame:
+    """Windows of crowded anchors' contexts (h, c, begin, stop) that other groups hold: runs of symbols that recur, then their windows."""
+    again = cores.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
+    both = hot_join(cores, again, "core", hot_keys(cores, "core", cores.count()))
+    r = F.explode(F.sequence(F.lit(0), F.lit(SYMBOL - 1))).alias("r")
+    rows = both.select("h", "c", "begin", "core", "left", "right", "holds", "asks", r).filter("(shiftright(holds, r) & 1) = 1")
+    w = F.expr(f"xxhash64(core, r, if(r = 0, 0L, shiftrightunsigned(left, {SYMBOL * 8} - 8 * r)), shiftleft(right, 8 * r))")
+    rows = rows.select("h", "c", (F.col("begin") - F.col("r")).alias("begin"), F.expr("(shiftright(asks, r) & 1) = 1").alias("asks"), w.alias("w"))
+    met = rows.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").select("w")
+    return rows.filter("asks").join(met, "w").select("h", "c", "begin", (F.col("begin") + WINDOW).alias("stop"))
 
 
 def occurrences(docs: DataFrame, text_col: str) -> DataFrame:
@@ -366,7 +431,8 @@ def _removed(docs: DataFrame, text_col: str) -> DataFrame:
     found = saved(repeated(docs, text_col), "contexts")
     texts = once_a_task(docs, text_col)
     whole = found.filter("whole").select("h", "c", F.lit(0).alias("begin"), (F.col("last") - F.col("first") + WINDOW).cast("int").alias("stop"))
-    covered = whole.unionByName(compared(found, texts))
+    parts, windows = compared(found, texts)
+    covered = whole.unionByName(parts)
     spans = occurrences(docs, text_col).join(covered, ["h", "c"]).select("k1", "k2", (F.col("first") + F.col("begin")).alias("s"), (F.col("first") + F.col("stop")).alias("e"))
     spans = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
@@ -381,7 +447,7 @@ def _removed(docs: DataFrame, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["k1", "k2", "n_removed", "n_spans", "sha"])
 
     out = saved(texts.join(spans, ["k1", "k2"]).select("k1", "k2", "text", "spans").mapInArrow(cut, "k1 long, k2 long, n_removed long, n_spans long, sha string").dropDuplicates(["k1", "k2"]), "cut")
-    released(found)
+    released(found, windows)
     return out
 
 

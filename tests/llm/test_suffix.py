@@ -74,6 +74,15 @@ def test_real_texts(spark):
     check(spark, [(r.doc_id, r.text) for r in rows])
 
 
+def test_crowded_anchor(spark, monkeypatch):
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    line, tails = noise(230), [noise(60) for _ in range(40)]
+    docs = [noise(rng.randint(0, 120)) + line + rng.choice(tails) + noise(rng.randint(0, 120)) for _ in range(300)]
+    monkeypatch.setattr(S, "CROWD", 20)
+    check(spark, list(enumerate(docs + docs[:5])))
+
+
 def test_planted_and_odd_texts(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 8)))
