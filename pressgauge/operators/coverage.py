@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import lru_cache, reduce
+from hashlib import md5
+from itertools import combinations
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,70 +18,191 @@ from ..sources.intermediate import hot_join, hot_keys, saved
 
 #: Totals under this many articles a day are no denominator.
 MIN_DENOMINATOR = 20
+#: Fingerprints of a bucket that are all compared (512 at least, which a bucket of the last level may hold); rows, and links, that a task holds at a time.
+CROWD, TREE_ROWS = 1000, 500_000
+
 
+@F.arrow_udf(LongType())
+def _simhash(tokens: pa.Array) -> pa.Array:
+    """Majority bits of the hashes of each row's tokens, as a signed 64-bit number; a word is hashed once a batch.
 
-@F.pandas_udf(LongType())
-def _simhash(hashes: pd.Series) -> pd.Series:
-    """Majority bits of the hashes of each row, as a signed 64-bit number; rows meet in one pass of numpy."""
-    size = hashes.map(len).to_numpy()
-    flat = np.concatenate(hashes.to_list()).astype(np.int64) if size.sum() else np.zeros(0, np.int64)
-    start = np.cumsum(size) - size
-    out = np.zeros(len(size), np.uint64)
-    for bit in range(64):
-        ones = np.concatenate([[0], np.cumsum((flat >> bit) & 1)])
-        out |= (2 * (ones[start + size] - ones[start]) > size).astype(np.uint64) << np.uint64(bit)
-    return pd.Series(out.view(np.int64))
+    A word's bits are 64 bytes, so numpy adds up rows of them: 255 tokens first, which a byte can count, then those sums.
+    """
+    words = tokens.flatten().dictionary_encode()
+    heads = b"".join(md5(w).digest()[:8] for w in words.dictionary.cast(pa.binary()).to_pylist())
+    bits = np.unpackbits(np.frombuffer(heads, np.uint8).reshape(-1, 8)[:, ::-1], axis=1, bitorder="little").view(np.uint64)
+    word, size = words.indices.to_numpy(), tokens.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+    end, out = np.cumsum(size), np.zeros(len(size), np.int64)
+    some = np.flatnonzero(size)
+    while len(some):
+        first = end[some[0]] - size[some[0]]
+        now = some[: max(1, int(np.searchsorted(end[some], first + TREE_ROWS, "right")))]
+        some = some[len(now) :]
+        parts = -(-size[now] // 255)
+        head = np.cumsum(parts) - parts
+        start = np.repeat(end[now] - size[now] - first, parts) + 255 * (np.arange(parts.sum()) - np.repeat(head, parts))
+        sums = np.add.reduceat(bits[word[first : end[now[-1]]]], start, axis=0).view(np.uint8)
+        votes = np.add.reduceat(sums, head, axis=0, dtype=np.int64)
+        out[now] = np.packbits(2 * votes > size[now][:, None], axis=1, bitorder="little").view(np.int64).ravel()
+    return pa.array(out)
 
 
 def fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, signed 64-bit simhash (each token occurrence weighs one) and four 16-bit bands; no row without a token.
 
     A token's hash is the first eight bytes of its MD5, so any engine can follow it. A document is one row and stays one:
-    hashes are made by the JVM, votes are counted in the row by one Arrow UDF, and nothing is shuffled.
+    the JVM finds the tokens, one Arrow UDF hashes the different ones and counts votes in the row; nothing is shuffled.
+    """
+    h = docs.select(key, tokens(F.col(text)).alias("_t")).filter(F.size("_t") > 0)
+    return h.select(key, _simhash("_t").alias("simhash")).withColumn("bands", bands(F.col("simhash")))
+
+
+@lru_cache(maxsize=None)
+def _finer(mask: int) -> tuple[int, ...]:
+    """Masks of the ten finer buckets that meet every pair of a bucket: its free bits in five blocks, two of them fixed."""
+    free = [i for i in range(64) if not mask >> i & 1]
+    blocks = [sum(1 << int(i) for i in part) for part in np.array_split(free, 5)]
+    return tuple(mask | x | y for x, y in combinations(blocks, 2))
+
+
+def _cut(batches):
+    """(simhash, mask) as ten rows (simhash, mask, fixed), fixed being the bits of the value under the finer mask."""
+    for batch in batches:
+        value, mask = (c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns)
+        for m in np.unique(mask):
+            v = value[mask == m]
+            for finer in np.array(_finer(int(m)), np.uint64):
+                columns = v, np.full(len(v), finer), v & finer
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], ["simhash", "mask", "fixed"])
+
+
+def _buckets(prints: DataFrame) -> list[DataFrame]:
+    """Rows (simhash, mask, fixed), a frame a level: every two fingerprints within three bits share a bucket (mask, fixed).
+
+    Five blocks differ in three at most, so two agree. What a bucket of more than ``CROWD`` fingerprints leaves free is cut
+    in the same way; after four levels nine bits are free, so buckets are bounded whatever the fingerprints are. Crowded
+    buckets, ten rows in ``CROWD`` at most, travel by broadcast.
     """
-    hashed = F.transform(tokens(F.col(text)), lambda t: F.conv(F.substring(F.md5(t), 1, 16), 16, -10).cast("long"))
-    h = docs.select(key, hashed.alias("_h")).filter(F.size("_h") > 0)
-    return h.select(key, _simhash("_h").alias("simhash")).withColumn("bands", bands(F.col("simhash")))
+    bucket, out = ["mask", "fixed"], []
+    left = saved(prints.select("simhash").distinct(), "prints").withColumn("mask", F.lit(0).cast("long"))
+    while True:
+        cut = left.mapInArrow(_cut, "simhash long, mask long, fixed long")
+        cut = saved(cut.distinct(), "cut") if out else cut  # two crowded buckets may lead to one mask
+        crowded = saved(cut.groupBy(*bucket).agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select(*bucket), "crowded")
+        if crowded.isEmpty():
+            return [*out, cut]
+        out.append(cut.join(F.broadcast(crowded), bucket, "left_anti"))
+        left = saved(cut.join(F.broadcast(crowded), bucket, "left_semi").select("simhash", "mask"), "left")
 
 
 def near_links(prints: DataFrame, key: str, max_distance: int = 3) -> DataFrame:
     """Pairs (a, b) of *distinct fingerprints* within ``max_distance`` bits (3 at most), a < b.
 
-    Four 16-bit bands guarantee those pairs too, but such a band holds 1/65536 of all fingerprints, so candidates would
-    grow with the square of the input. Five blocks differ in three at most, so two agree: ten keys of 25 or 26 bits find
-    the same pairs with far fewer candidates. Equal fingerprints are one value, so copies make no pairs.
+    Four 16-bit bands guarantee those pairs too, but such a band holds 1/65536 of all fingerprints, and those of prose lie
+    close: candidates would grow with the square of the input. Buckets of bounded size find the same pairs. Equal
+    fingerprints are one value, so copies make no pairs.
+    """
+    if max_distance > 3:
+        raise ValueError("blocks guarantee distances up to 3")
+    hits = []
+    for rows in _buckets(prints):
+        a, b = rows.withColumnRenamed("simhash", "a"), rows.withColumnRenamed("simhash", "b")
+        hit = a.join(b, ["mask", "fixed"]).filter(F.col("a") < F.col("b")).withColumn("distance", hamming(F.col("a"), F.col("b")))
+        hits.append(hit.filter(F.col("distance") <= max_distance).select("a", "b", "distance"))
+    return reduce(DataFrame.unionByName, hits).distinct()
+
+
+def _merged(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labels (the smallest index of each component) after the links x - y."""
+    while True:
+        a, b = label[x], label[y]
+        apart = a != b
+        if not apart.any():
+            return label
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (up := label[label]).tobytes() != label.tobytes():
+            label = up
+
+
+def _tree(rows: list[np.ndarray], max_distance: int, most: int) -> pa.RecordBatch:
+    """Links (a, b) that connect what pairs of the rows' buckets connect: fewer than the rows hold values. Some ``most`` pairs are held."""
+    mask, fixed, value = rows
+    value, at = np.unique(value, return_inverse=True)
+    starts = np.flatnonzero(np.concatenate([[True], (mask[1:] != mask[:-1]) | (fixed[1:] != fixed[:-1])]))
+    end = np.repeat(np.append(starts[1:], len(mask)), np.diff(np.append(starts, len(mask))))
+    label, found, n, lag, row = np.arange(len(value)), [], 0, 0, np.arange(len(mask))
+    while len(row):
+        lag += 1
+        row = row[row + lag < end[row]]
+        x, y = at[row], at[row + lag]
+        near = (np.bitwise_count(value[x] ^ value[y]) <= max_distance) & (label[x] != label[y])
+        found.append((x[near], y[near]))
+        n += len(found[-1][0])
+        if n > most or not len(row):
+            label, found, n = _merged(label, *(np.concatenate(c) for c in zip(*found, strict=True))), [], 0
+    other = np.flatnonzero(label != np.arange(len(label)))
+    return pa.RecordBatch.from_arrays([pa.array(value[i].view(np.int64)) for i in (label[other], other)], ["a", "b"])
+
+
+def cluster_links(prints: DataFrame, max_distance: int = 3) -> DataFrame:
+    """Links (a, b) with the components of ``near_links``, as many as there are rows in buckets at most.
+
+    Pairs of close fingerprints grow with the square of the input, a forest over them does not. Whole buckets meet in a
+    task, some ``TREE_ROWS`` rows at a time, and only links between values that are still apart are returned. A link says
+    that two values are connected, not that they are near.
     """
     if max_distance > 3:
         raise ValueError("blocks guarantee distances up to 3")
-    cuts = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
-    block = lambda i: F.shiftrightunsigned("simhash", cuts[i][0]).bitwiseAND(F.lit((1 << cuts[i][1]) - 1))
-    keys = [(block(i) * F.lit(1 << 13) + block(j)) * F.lit(16) + F.lit(k) for k, (i, j) in enumerate((i, j) for i in range(5) for j in range(i + 1, 5))]
-    values = saved(prints.select("simhash").distinct(), "prints")  # read by both sides
-    e = values.select("simhash", F.explode(F.array(*keys)).alias("key"))
-    a, b = e.withColumnRenamed("simhash", "a"), e.withColumnRenamed("simhash", "b")
-    hit = a.join(b, "key").filter(F.col("a") < F.col("b")).withColumn("distance", hamming(F.col("a"), F.col("b")))
-    return hit.filter(F.col("distance") <= max_distance).select("a", "b", "distance").distinct()
+
+    most = TREE_ROWS
+
+    def trees(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns])
+            n += batch.num_rows
+            if n > most:
+                rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+                last = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])  # this bucket may go on in the next batch
+                if not last.all():
+                    yield _tree([c[~last] for c in rows], max_distance, most)
+                held, n = [[c[last] for c in rows]], int(last.sum())
+        if n:
+            yield _tree([np.concatenate(c) for c in zip(*held, strict=True)], max_distance, most)
+
+    dealt = [b.select("mask", "fixed", "simhash").repartition("mask", "fixed").sortWithinPartitions("mask", "fixed") for b in _buckets(prints)]
+    return reduce(DataFrame.unionByName, [d.mapInArrow(trees, "a long, b long") for d in dealt])
 
 
 def components(nodes: DataFrame, links: DataFrame, node: str = "node") -> DataFrame:
-    """node, component (smallest node reached), by min-label propagation with pointer jumping.
+    """node, component (smallest node reached), by contraction: nodes take the name at the end of smallest neighbours.
 
-    Each round is written to the shared checkpoint folder, so lineage stays short and a lost executor costs one round.
-    Labels of hubs and of large components, a thousand at most, travel by broadcast.
+    Pointer jumping finds that end. The links between different names go on, and every name that goes on has taken in
+    another, so rounds shrink and their sum is a small multiple of the first. Each step is written to the shared
+    checkpoint folder: lineage stays short and a lost executor costs one step. Names of hubs and of large components, two
+    thousand at most, travel by broadcast.
     """
-    both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    both = saved(both.distinct(), "links")
-    n, hubs = both.count(), None
-    labels = saved(both.select(F.col("x").alias(node)).distinct().withColumn("component", F.col(node)), "labels")
-    while n:
-        hubs = hubs or hot_keys(both, "y", n)
-        reached = hot_join(both, labels.withColumnRenamed(node, "y"), "y", hubs).groupBy(F.col("x").alias(node)).agg(F.min("component").alias("_best"))
-        step = saved(labels.join(reached, node).select(node, F.least("component", "_best").alias("component"), F.col("component").alias("_was")), "labels")
-        jump = step.select(F.col(node).alias("component"), F.col("component").alias("_up"))
-        new = saved(hot_join(step, jump, "component", hot_keys(step, "component", n)).select(node, F.least("component", "_up").alias("component"), "_was"), "labels")
-        labels = new.drop("_was")
-        if new.filter(F.col("component") != F.col("_was")).isEmpty():
-            break
+    x, y = F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")
+    edges, rounds = saved(links.filter(F.col("a") != F.col("b")).select(x, y).distinct(), "links"), []
+    while n := edges.count():
+        both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        names, moved = saved(both.groupBy(F.col("x").alias(node)).agg(F.min("y").alias("_best")).select(node, F.least(node, "_best").alias("component")), "labels"), True
+        while moved:
+            jump = names.select(F.col(node).alias("component"), F.col("component").alias("_up"))
+            step = saved(hot_join(names, jump, "component", hot_keys(names, "component", n)).select(node, F.col("_up").alias("component"), F.col("component").alias("_was")), "labels")
+            names, moved = step.drop("_was"), not step.filter(F.col("component") != F.col("_was")).isEmpty()
+        rounds.append(names)
+        for end in ("x", "y"):
+            named = names.select(F.col(node).alias(end), F.col("component").alias("_name"))
+            edges = hot_join(edges, named, end, hot_keys(edges, end, n)).drop(end).withColumnRenamed("_name", end)
+        edges = edges.filter(F.col("x") != F.col("y"))
+        edges = saved(edges.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "links")
+    labels = rounds.pop() if rounds else edges.select(F.col("x").alias(node), F.col("y").alias("component"))
+    for names in reversed(rounds):
+        later = labels.select(F.col(node).alias("component"), F.col("component").alias("_last"))
+        last = hot_join(names, later, "component", hot_keys(names, "component", names.count()), "left")
+        labels = saved(last.select(node, F.coalesce("_last", "component").alias("component")), "labels")
     return nodes.select(node).distinct().join(labels, node, "left").withColumn("component", F.coalesce("component", node))
 
 

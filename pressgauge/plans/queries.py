@@ -498,7 +498,7 @@ def near_dup_pairs(spark, d):
 
 def near_dup_clusters(spark, d):
     p = saved(_prints(spark, d), "prints")
-    comp = C.components(p.select(F.col("simhash").alias("node")), C.near_links(p, "doc_id"))
+    comp = C.components(p.select(F.col("simhash").alias("node")), C.cluster_links(p))
     of = p.select("doc_id", F.col("simhash").alias("node")).join(comp, "node").select("doc_id", "component")
     return of.join(of.groupBy("component").agg(F.min("doc_id").alias("cluster_id")), "component").select("doc_id", "cluster_id")
 

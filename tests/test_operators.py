@@ -1,6 +1,8 @@
 import datetime as dt
 import gzip
+import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from pressgauge.operators import enrich as E
 from pressgauge.operators import merge as M
 from pressgauge.operators import rollup as R
 from pressgauge.operators import search as S
+from pressgauge.plans import queries as Q
 from pressgauge.sources import listings as L
 from pressgauge.sources import outlets as O
 from pressgauge.sources import pagestore as P
@@ -124,6 +127,77 @@ def test_clusters_and_schema(spark):
     assert schemas.evolve(once, schemas.ARTICLES).schema.names == schemas.ARTICLES.names
 
 
+def test_clusters_of_close_fingerprints(spark, monkeypatch):
+    """Many fingerprints a few bits apart: clusters get links in proportion to them, buckets stay bounded, nothing is lost."""
+    rng = np.random.default_rng(3)
+    spread = np.uint64(1) << np.arange(2, 14, dtype=np.uint64)
+    cube = np.array([spread[[i for i in range(12) if v >> i & 1]].sum(dtype=np.uint64) for v in range(4096)])
+    alone = rng.integers(0, 1 << 64, 300, np.uint64)
+    chain = alone[:100] ^ np.uint64(0b111 << 50)
+    values = np.unique(np.concatenate([cube[rng.random(4096) < 0.7], alone, chain, alone[100:200] ^ np.uint64(0b1111 << 50)]))
+    near = [(i, j) for i, v in enumerate(values) for j in np.flatnonzero(np.bitwise_count(values ^ v) <= 3) if i < j]
+    signed = [int(v) for v in values.view(np.int64)]
+    ids = [*range(len(signed)), *range(len(signed))]  # every document twice
+    prints = spark.createDataFrame([(len(ids) - k, signed[i]) for k, i in enumerate(ids)], "doc_id long, simhash long")
+    label = np.arange(len(values))
+    while True:
+        before = label.copy()
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+        if (before == label).all():
+            break
+    least = {}
+    for k, i in enumerate(ids):
+        least[label[i]] = min(len(ids) - k, least.get(label[i], len(ids)))
+    links, run = [], C.components
+    monkeypatch.setattr(Q, "_prints", lambda spark, d: prints)
+    monkeypatch.setattr(C, "components", lambda nodes, given: links.append(given.count()) or run(nodes, given))
+    got = {r.doc_id: r.cluster_id for r in Q.near_dup_clusters(spark, "").collect()}
+    assert got == {len(ids) - k: least[label[i]] for k, i in enumerate(ids)} and len(near) > 50 * len(values)
+    assert links[0] <= 10 * len(values)
+    largest = [b.groupBy("mask", "fixed").count().agg(F.max("count")).first()[0] for b in C._buckets(prints)]
+    assert len(largest) > 1 and max(largest) <= C.CROWD
+    pairs = {tuple(sorted((r.a, r.b))): r.distance for r in C.near_links(prints, "doc_id").collect()}
+    assert pairs == {tuple(sorted((signed[i], signed[j]))): int(np.bitwise_count(values[i] ^ values[j])) for i, j in near}
+
+
+def test_links_of_whole_buckets(spark, monkeypatch):
+    """Buckets that go on over batches, and more links than a task holds at a time, give the same components."""
+    monkeypatch.setattr(C, "TREE_ROWS", 50)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 20)
+    prints = spark.createDataFrame([(i, (i * 37 % 1024) << 20) for i in range(0, 1024, 3)], "doc_id long, simhash long")
+    nodes = prints.select(F.col("simhash").alias("node"))
+    try:
+        a, b = (sorted(map(tuple, C.components(nodes, x).collect())) for x in (C.cluster_links(prints), C.near_links(prints, "doc_id")))
+    finally:
+        spark.conf.set(key, before)
+    assert a == b and len(a) == prints.count()
+
+
+def test_components_of_paths(spark):
+    """A long path, a star and copies of links in both directions; names shrink to the smallest node of each."""
+    ends = [(i, i + 1) for i in range(0, 300)] + [(5000, 5000 - i) for i in range(1, 1200)] + [(7, 6), (6, 7), (9000, 9000)]
+    got = {r.node: r.component for r in C.components(spark.range(9001).select(F.col("id").alias("node")), spark.createDataFrame(ends, "a long, b long")).collect()}
+    assert got == {i: 0 if i <= 300 else 3801 if 3801 <= i <= 5000 else i for i in range(9001)}
+    empty = spark.createDataFrame([], "a long, b long")
+    assert [tuple(r) for r in C.components(spark.range(1).select(F.col("id").alias("node")), empty).collect()] == [(0, 0)]
+
+
+def test_fingerprints_by_hand(spark):
+    """Votes counted in parts of 255 tokens equal the plain count; ties are zeros, rows without a token are left out."""
+    texts = ["a", "a b", "b " * 1000 + "c " * 1001, " ".join(f"w{i % 700}" for i in range(5000)), "", None, "É é e"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+
+    def plain(text):
+        h = [int(hashlib.md5(t.encode()).hexdigest()[:16], 16) for t in text.lower().split()]
+        v = sum(1 << i for i in range(64) if 2 * sum(x >> i & 1 for x in h) > len(h))
+        return v - (1 << 64) if v >> 63 else v
+
+    assert {r.doc_id: r.simhash for r in C.fingerprints(docs, "doc_id", "text").collect()} == {i: plain(t) for i, t in enumerate(texts) if t}
+
+
 def test_feed_text_and_failures(spark):
     item = "<item><title>It&#8217;s <![CDATA[a < b &amp;]]> &#x4E2D;&nbsp;&bogus; &#99999999; &</title><link>https://x/1</link></item>"
     atom = "<atom:feed><atom:entry><atom:title>N</atom:title><atom:link href='https://x/2'/><media:title>no</media:title></atom:entry></atom:feed>"
