@@ -19,7 +19,7 @@ from ..operators import rollup as R
 from ..operators import search as S
 from ..sources import listings as L
 from ..sources import pagestore as P
-from ..sources.intermediate import saved
+from ..sources.intermediate import hot_join, hot_keys, saved
 from ..sources.tables import articles, runs, table
 
 AS_OF = "2024-01-31"
@@ -499,8 +499,10 @@ def near_dup_pairs(spark, d):
 def near_dup_clusters(spark, d):
     p = saved(_prints(spark, d), "prints")
     comp = C.components(p.select(F.col("simhash").alias("node")), C.cluster_links(p))
-    of = p.select("doc_id", F.col("simhash").alias("node")).join(comp, "node").select("doc_id", "component")
-    return of.join(of.groupBy("component").agg(F.min("doc_id").alias("cluster_id")), "component").select("doc_id", "cluster_id")
+    docs, n = p.select("doc_id", F.col("simhash").alias("node")), p.count()
+    of = saved(hot_join(docs, comp, "node", hot_keys(docs, "node", n)).select("doc_id", "component"), "components")
+    least = of.groupBy("component").agg(F.min("doc_id").alias("cluster_id"))
+    return hot_join(of, least, "component", hot_keys(of, "component", n)).select("doc_id", "cluster_id")
 
 
 def framing_delta(spark, d):
