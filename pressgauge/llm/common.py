@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from ..sources.intermediate import hot_join, hot_keys, new_path, released, saved, shared_dir
 from ..sources.tables import table
 
-__all__ = ["hot_join", "hot_keys", "new_path", "parts_of", "released", "saved", "shared_dir", "small_batches", "summed", "table", "vector_rows"]
+__all__ = ["hot_join", "hot_keys", "lean", "new_path", "parts_of", "released", "saved", "shared_dir", "small_batches", "summed", "table", "vector_rows"]
 
 #: Tasks whose chunks meet in one place at each level of ``summed``, and numbers of an array that travel in one row.
 FAN_IN, CHUNK = 32, 65_536
@@ -34,6 +35,25 @@ def small_batches(spark: SparkSession, rows: int = 500):
         spark.conf.set(key, before)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = 500):
+    """``run`` for mapInArrow over slices of ``rows`` rows at most. What its task has freed goes back to the system at the end:
+    idle workers stay beside the executor's heap, and each would keep the most that any of its tasks held."""
+
+    def give_back() -> None:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
+
+    def over_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+        finally:
+            give_back()
+
+    return over_slices
+
+
 def parts_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: q, edits allowed per item character, and the items that one broadcast block may hold (its size bound).
 Q, RATE = 12, 0.06
 BLOCK_CHARS, BLOCK_ITEMS = 8_000_000, 50_000
@@ -235,7 +237,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: floa
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], names=["doc_id", "item_id", "start", "end", "edits"])
 
-        part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, MATCH)
+        part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), MATCH)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -251,5 +253,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE)
             for b in batches:
                 yield b.filter(pa.array([not items.matches(t.as_py()) for t in b.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.coverage import components
-from .common import hot_join, hot_keys, parts_of, released, saved, summed, vector_rows
+from .common import hot_join, hot_keys, lean, parts_of, released, saved, small_batches, summed, vector_rows
 from .shingles import identity, mix, shingles, words
 
 THRESHOLD = 0.8
@@ -64,7 +64,7 @@ def frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, in
         if n:
             yield vector_rows(table, n)
 
-    df, n = summed(docs.select(text_col), size, count)
+    df, n = summed(docs.select(text_col), size, lean(count))
     return (np.zeros(size), 0) if df is None else (df, int(n))
 
 
@@ -123,7 +123,7 @@ def sketches(docs: DataFrame, idf, id_col: str, text_col: str) -> DataFrame:
                 names=["doc_id", "text_key", "node", "bands"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"), text_key(text_col)).mapInArrow(run, "doc_id long, text_key long, node long, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"), text_key(text_col)).mapInArrow(lean(run), "doc_id long, text_key long, node long, bands array<long>")
 
 
 def text_key(text_col: str):
@@ -146,7 +146,7 @@ def node_texts(docs: DataFrame, text_col: str) -> DataFrame:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(node[keep]), b.column(0).take(pa.array(keep, pa.int64()))], names=["node", "text"])
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "node long, text string")
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(lean(run), "node long, text string")
 
 
 def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -185,7 +185,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataF
                     out[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(lean(run), "a long, b long")
 
 
 class _Block:
@@ -297,11 +297,17 @@ def remaining(e: DataFrame, crowded: DataFrame, tried: DataFrame | None, texts:
         end()
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
 
-    return links.unionByName(rows.mapInArrow(run, "a long, b long"))
+    return links.unionByName(rows.mapInArrow(lean(run), "a long, b long"))
 
 
 def members(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, text_key, first (doc_id and text_key of the class's first row), class_size."""
+    with small_batches(docs.sparkSession):
+        return _members(docs, threshold, id_col, text_col)
+
+
+def _members(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """``members``; every step in Python has been written when this returns."""
     df, n = frequencies(docs, text_col)
     idf = docs.sparkSession.sparkContext.broadcast(idf_table(df, n))  # 4 MB
     keys = ["band", "value"]

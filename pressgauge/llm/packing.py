@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts_of, saved
+from .common import lean, parts_of, saved, small_batches
 
 WINDOW = 1024
 END = 0
@@ -184,7 +184,7 @@ def _met(before: DataFrame, stage: int, window: int) -> DataFrame:
         yield from end()
 
     left = before.filter("part is not null").withColumn("group", F.floor(F.col("part") / MEET))
-    return left.repartition(parts_of(before.sparkSession), "group").sortWithinPartitions("group", "part", "open", "offset").mapInArrow(run, _ALL)
+    return left.repartition(parts_of(before.sparkSession), "group").sortWithinPartitions("group", "part", "open", "offset").mapInArrow(lean(run), _ALL)
 
 
 def pack(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], list[np.ndarray]]], id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -208,8 +208,9 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], list[np.nd
             yield _done(rows)
         yield from _open(packer, part)
 
-    first = saved(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, _ALL), "packed")
-    second = saved(_met(first, 1, window), "packed")
+    with small_batches(docs.sparkSession):
+        first = saved(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(lean(run), _ALL), "packed")
+        second = saved(_met(first, 1, window), "packed")
     columns = [x.split()[0] for x in SCHEMA.split(", ")]
     done = [x.filter("part is null").select(*columns) for x in (first, second, _met(second, 2, window))]
     return done[0].unionByName(done[1]).unionByName(done[2])

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, small_batches
+
 #: Labelled documents used to fit, at most, per class (the bound on the training sample; of each, the whole text counts).
 FIT_DOCS = 4000
 BUCKETS, DIM, NGRAMS = 1 << 17, 16, (3, 4, 5)
@@ -166,7 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = FIT_DOCS) -> Model
 
     # Ids first (2 x max_docs rows at most), so texts are read behind a broadcast filter and few of them move.
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long"), "text", "toxic")
-    got = texts.repartition(1).mapInArrow(run, "scores binary, bias double").collect()
+    with small_batches(docs.sparkSession):
+        got = texts.repartition(1).mapInArrow(lean(run), "scores binary, bias double").collect()
     return Model(np.frombuffer(got[0].scores, np.float32), got[0].bias) if got else Model.constant(-4.0)
 
 
@@ -202,4 +205,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
             p = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, out])
 
-    return rest.mapInArrow(run, schema)
+    return rest.mapInArrow(lean(run), schema)

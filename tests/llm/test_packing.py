@@ -2,11 +2,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pressgauge.llm import bpe, packing
+from pressgauge.llm.common import lean
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 TOK = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
@@ -116,3 +119,32 @@ def test_every_id_lies_in_one_window(sizes, stages):
     where = sorted((r[0], r[1], r[2]) for r in rows)
     assert [x for d, a, n in where for x in ((d, a + k) for k in range(n))] == [(d, k) for d, n in enumerate(sizes) for k in range(n)]
     assert all(r[3] == zlib.crc32(docs[r[0]][r[1] : r[1] + r[2]].tobytes()) for r in rows)
+
+
+def test_workers_hold_few_rows_at_a_time(spark):
+    """20,000 rows of 8 kB in one task: 160 MB, which a worker never has in memory together."""
+    docs = spark.range(0, 20_000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 4000).alias("text"))
+
+    def encoder():
+        def resident():
+            with open("/proc/self/statm") as f:
+                return int(f.read().split()[1]) * 4096
+
+        import pandas  # noqa: F401  (Arrow imports it at its first array)
+
+        before = resident()
+
+        def encode(texts):
+            assert resident() - before < 40_000_000
+            return [np.full(len(t) // 2, 7, np.uint32) for t in texts]
+
+        return encode
+
+    rows = packing.pack(docs, encoder)
+    assert rows.agg(F.sum("length")).first()[0] == 20_000 * 4001 and rows.select("doc_id").distinct().count() == 20_000
+
+
+def test_lean_runs_over_slices_of_the_same_rows():
+    batches = [pa.record_batch({"x": pa.array(range(n))}) for n in (0, 3, 500, 1234)]
+    got = list(lean(lambda bs: ([b.num_rows, b.column(0).to_pylist()] for b in bs))(iter(batches)))
+    assert [n for n, _ in got] == [3, 500, 500, 500, 234] and [x for _, v in got for x in v] == [x for b in batches for x in b.column(0).to_pylist()]
