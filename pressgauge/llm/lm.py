@@ -41,8 +41,19 @@ _WORD = re.compile(r"\w+")
 HELD, SENT = 200_000, 1_000_000
 
 
+def _folded(c: str) -> str:
+    return c.lower() if _WORD.match(c) else " "
+
+
+#: The rule for texts of Latin-1 characters, whose lower-case forms are single ones of that set: what is no word is blank.
+_LATIN = "".join(_folded(chr(c)) for c in range(256)).encode("latin-1")
+
+
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    try:
+        return (text or "").encode("latin-1").translate(_LATIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _WORD.findall(text.lower())
 
 
 class Vocabulary:
@@ -88,10 +99,17 @@ class Network:
         })
 
     def _hidden(self, ctx):
-        x = self.p["emb"][ctx].reshape(len(ctx), -1)
-        h = x @ self.p["w1"]
-        h += self.p["b1"]
-        return x, np.tanh(h, out=h)
+        x = self.p["emb"].take(ctx, 0).reshape(len(ctx), -1)
+        h = np.ones((len(ctx), HIDDEN + 1), x.dtype)  # the last column meets the biases
+        z = x @ self.p["w1"]
+        z += self.p["b1"]
+        np.tanh(z, out=h[:, :HIDDEN])
+        return x, h
+
+    def _heads(self):
+        """Weights of classes and of words, each over its biases."""
+        p = self.p
+        return np.concatenate([p["wc"], p["bc"][None]]), np.concatenate([p["ww"], p["bw"][:, None]], 1)
 
     @staticmethod
     def _softmax(z, bound):
@@ -108,14 +126,14 @@ class Network:
         order = np.argsort(k, kind="stable")
         k, t = k[order], tokens[order]
         cut = np.searchsorted(k, np.arange(CLASSES + 1)).tolist()
-        return order, k, t % PER_CLASS, ctx[order], [(c, cut[c], cut[c + 1]) for c in range(CLASSES) if cut[c] < cut[c + 1]]
+        return order, k, t % PER_CLASS, ctx.take(order, 0), [(c, cut[c], cut[c + 1]) for c in range(CLASSES) if cut[c] < cut[c + 1]]
 
-    def _word_logits(self, h, k, groups):
+    @staticmethod
+    def _word_logits(h, ww, groups):
         """Logits of the words of each row's class: one product a class, one row a token."""
-        ww, z = self.p["ww"], np.empty((len(h), PER_CLASS), h.dtype)
+        z = np.empty((len(h), PER_CLASS), h.dtype)
         for g, i, j in groups:
             np.matmul(h[i:j], ww[g], out=z[i:j])
-        z += self.p["bw"][k]
         return z
 
     def _bounds(self):
@@ -124,12 +142,12 @@ class Network:
         return tuple(float((np.abs(p[w]).sum(-2) + np.abs(p[b])).max()) for w, b in (("wc", "bc"), ("ww", "bw")))
 
     def log_probs(self, tokens: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-        out, p, (bound_c, bound_w) = np.empty(len(tokens), np.float64), self.p, self._bounds()
+        out, (wc, ww), (bound_c, bound_w) = np.empty(len(tokens), np.float64), self._heads(), self._bounds()
         for at in range(0, len(tokens), STEP):
             order, k, w, c, groups = self._by_class(tokens[at : at + STEP], ctx[at : at + STEP])
             _, h = self._hidden(c)
             lp = np.zeros(len(k))
-            for z, which, bound in ((h @ p["wc"] + p["bc"], k, bound_c), (self._word_logits(h, k, groups), w, bound_w)):
+            for z, which, bound in ((h @ wc, k, bound_c), (self._word_logits(h, ww, groups), w, bound_w)):
                 if bound > 60:
                     z -= z.max(1, keepdims=True)
                 lp += z[np.arange(len(k)), which]
@@ -139,7 +157,7 @@ class Network:
 
     def step(self, tokens: np.ndarray, ctx: np.ndarray, seen: dict[str, np.ndarray], rate: float = RATE) -> None:
         """One Adagrad step on the mean log-loss of a batch."""
-        n, p, (bound_c, bound_w) = len(tokens), self.p, self._bounds()
+        n, p, (wc, ww), (bound_c, bound_w) = len(tokens), self.p, self._heads(), self._bounds()
         _, k, w, ctx, groups = self._by_class(tokens, ctx)
         x, h = self._hidden(ctx)
         rows = np.arange(n)
@@ -150,14 +168,14 @@ class Network:
             e[rows, right] -= np.float32(1 / n)
             return e
 
-        d = errors(h @ p["wc"] + p["bc"], k, bound_c)
-        e = errors(self._word_logits(h, k, groups), w, bound_w)
-        back = d @ p["wc"].T
-        grads = {"wc": h.T @ d, "bc": d.sum(0), "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
+        d = errors(h @ wc, k, bound_c)
+        e = errors(self._word_logits(h, ww, groups), w, bound_w)
+        back, of_c, of_w = d @ p["wc"].T, h.T @ d, np.zeros_like(ww)
         for g, i, j in groups:
             back[i:j] += e[i:j] @ p["ww"][g].T
-            np.matmul(h[i:j].T, e[i:j], out=grads["ww"][g])
-        grads["bw"][[g for g, _, _ in groups]] = np.add.reduceat(e, [i for _, i, _ in groups])
+            np.matmul(h[i:j].T, e[i:j], out=of_w[g])
+        grads = {"wc": of_c[:-1], "bc": of_c[-1], "ww": of_w[:, :-1], "bw": of_w[:, -1]}
+        h = h[:, :HIDDEN]
         back *= 1 - h * h
         grads |= {"w1": x.T @ back, "b1": back.sum(0)}
         dx = (back @ p["w1"].T).reshape(-1, DIM)
@@ -165,7 +183,9 @@ class Network:
         order = np.argsort(ids, kind="stable")
         times = np.bincount(ids, minlength=SIZE + 1)
         met = np.flatnonzero(times)
-        summed = np.add.reduceat(dx[order], (np.cumsum(times) - times)[met])
+        dealt = dx.take(order, 0)
+        dealt = dealt.view(f"c{2 * dx.itemsize}") if DIM % 2 == 0 else dealt  # two numbers are added at once
+        summed = np.add.reduceat(dealt, (np.cumsum(times) - times)[met]).view(dx.dtype)
         seen["emb"][met] += summed * summed
         p["emb"][met] -= rate * summed / np.sqrt(seen["emb"][met])
         for name, grad in grads.items():
@@ -198,7 +218,7 @@ class Network:
             order = rng.permutation(len(tokens))
             for at in range(0, len(tokens), STEP):
                 rows = order[at : at + STEP]
-                self.step(tokens[rows], ctx[rows], seen)
+                self.step(tokens[rows], ctx.take(rows, 0), seen)
         return len(tokens)
 
     def flat(self) -> np.ndarray:

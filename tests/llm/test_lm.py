@@ -119,3 +119,14 @@ def test_blocks_give_the_entries_of_whole_texts(spark, monkeypatch):
         assert np.array_equal(np.frombuffer(r.tokens, np.uint16), corpus.vocab(texts[r.doc_id]))
         want = sum(np.log(n[w] / inside[lm.zlib.crc32(w.encode()) % lm.HASHED]) for w in lm.words_of(texts[r.doc_id]) if w not in corpus.vocab.ids)
         assert abs(r.within - want) < 1e-6 * max(1, abs(want))
+
+
+def test_words_by_either_rule_and_without_a_pattern_for_latin():
+    marks = "".join(map(chr, range(256)))
+    texts = [marks, *(f"a{c}B_9{c}" for c in marks), "Ünder_2 naïve²\xa0\x85½ µ ß ÿ", "", None, "İstanbul ΣΑΣ ſ Ÿ", "中文 a\u2028b", "\ud800x y"]
+    assert [lm.words_of(t) for t in texts] == [lm._WORD.findall((t or "").lower()) for t in texts]
+    kept, lm._WORD = lm._WORD, None  # what Latin-1 texts no longer pass through
+    try:
+        assert lm.words_of("Été, one_2 l'été") == ["été", "one_2", "l", "été"]
+    finally:
+        lm._WORD = kept
