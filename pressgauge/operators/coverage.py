@@ -20,6 +20,8 @@ from ..sources.intermediate import hot_join, hot_keys, saved
 MIN_DENOMINATOR = 20
 #: Fingerprints of a bucket that are all compared (512 at least, which a bucket of the last level may hold); rows, and links, that a task holds at a time.
 CROWD, TREE_ROWS = 1000, 500_000
+#: Links that one task follows to their ends; more are contracted first.
+FEW_LINKS = 100_000
 
 
 @F.arrow_udf(LongType())
@@ -175,17 +177,32 @@ def cluster_links(prints: DataFrame, max_distance: int = 3) -> DataFrame:
     return reduce(DataFrame.unionByName, [d.mapInArrow(trees, "a long, b long") for d in dealt])
 
 
+def _followed(batches):
+    """(node, component) of all links (x, y) that a task gets."""
+    held = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+    if held:
+        x, y = (np.concatenate(c) for c in zip(*held, strict=True))
+        value, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+        label = _merged(np.arange(len(value)), at[: len(x)], at[len(x) :])
+        yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(value[label])], ["node", "component"])
+
+
 def components(nodes: DataFrame, links: DataFrame, node: str = "node") -> DataFrame:
     """node, component (smallest node reached), by contraction: nodes take the name at the end of smallest neighbours.
 
     Pointer jumping finds that end. The links between different names go on, and every name that goes on has taken in
-    another, so rounds shrink and their sum is a small multiple of the first. Each step is written to the shared
+    another, so rounds shrink and their sum is a small multiple of the first. Once ``FEW_LINKS`` are left, one task follows
+    them: a round is a dozen queries, whose plans and broadcasts pile up in the driver. Each step is written to the shared
     checkpoint folder: lineage stays short and a lost executor costs one step. Names of hubs and of large components, two
-    thousand at most, travel by broadcast.
+    thousand at most, travel by broadcast. Nodes are integers.
     """
     x, y = F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")
     edges, rounds = saved(links.filter(F.col("a") != F.col("b")).select(x, y).distinct(), "links"), []
     while n := edges.count():
+        if n <= FEW_LINKS:
+            last = edges.select(F.col("x").cast("long"), F.col("y").cast("long")).repartition(1).mapInArrow(_followed, "node long, component long")
+            rounds.append(saved(last.withColumnRenamed("node", node), "labels"))
+            break
         both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
         names, moved = saved(both.groupBy(F.col("x").alias(node)).agg(F.min("y").alias("_best")).select(node, F.least(node, "_best").alias("component")), "labels"), True
         while moved:

@@ -185,6 +185,30 @@ def test_components_of_paths(spark):
     assert [tuple(r) for r in C.components(spark.range(1).select(F.col("id").alias("node")), empty).collect()] == [(0, 0)]
 
 
+def test_components_take_few_queries(spark, monkeypatch):
+    """Links that fit a task are followed there: three steps are written, not dozens. More are contracted first, down to that many."""
+    ends = [(i, i * 7 % 3001) for i in range(1, 3000, 2)] + [(-5, 9), (-5, -(2**62)), (2**62, 2**62 - 1)]
+    links, nodes = spark.createDataFrame(ends, "a long, b long"), spark.createDataFrame([(i,) for e in ends for i in e], "node long")
+    up = {i: i for e in ends for i in e}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in ends:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    steps, save = [], C.saved
+    monkeypatch.setattr(C, "saved", lambda df, label="step": steps.append(label) or save(df, label))
+    took = []
+    for few in (100_000, 600, 0):
+        monkeypatch.setattr(C, "FEW_LINKS", few)
+        assert {r.node: r.component for r in C.components(nodes, links).collect()} == {i: root(i) for i in up}
+        took.append(len(steps) - sum(took))
+    assert took[0] <= 3 < took[1] <= took[2]
+
+
 def test_fingerprints_by_hand(spark):
     """Votes counted in parts of 255 tokens equal the plain count; ties are zeros, rows without a token are left out."""
     texts = ["a", "a b", "b " * 1000 + "c " * 1001, " ".join(f"w{i % 700}" for i in range(5000)), "", None, "É é e"]
