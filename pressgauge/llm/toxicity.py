@@ -33,7 +33,11 @@ THRESHOLD = 0.7
 MID_Z, GAIN = 6.0, 30.0
 #: Words remembered per worker, characters of such a word at most, and subwords that fitting documents hold at once at most.
 CACHE, CACHE_CHARS, HELD = 300_000, 64, 20_000_000
+#: Characters of texts whose new words are looked up together, and characters that such a look-up holds as arrays.
+PIECE, ARRAY = 1_000_000, 50_000
 _WORD = re.compile(r"\w+")
+#: The table of zlib's CRC-32: what one byte does to the register.
+_CRC = np.array([zlib.crc32(bytes([i ^ 0xFF])) ^ 0xFF000000 for i in range(256)], np.uint32)
 
 
 def subwords(word: str) -> np.ndarray:
@@ -43,6 +47,26 @@ def subwords(word: str) -> np.ndarray:
     return np.fromiter((zlib.crc32(g.encode()) % BUCKETS for g in grams), np.int32)
 
 
+def means(words: list[str], scores: np.ndarray) -> np.ndarray:
+    """``scores[subwords(w)].mean()`` of words of one length, with the n-grams of all of them hashed together."""
+    size = len(words[0]) + 2
+    marked = [f"<{w}>" for w in words]
+    a = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).reshape(-1, size)
+    n = 1 + (a > 0x7F) + (a > 0x7FF) + (a > 0xFFFF).astype(np.uint32)  # bytes of each character in UTF-8
+    most = int(n.max())
+    lead = np.array([0, 0, 0xC0, 0xE0, 0xF0], np.uint32)[n] if most > 1 else np.uint32(0)
+    planes = [((0x80 if j else lead) | (a >> (6 * np.maximum(n - 1, j) - 6 * j)) & (0x3F if j else 0x7F)).astype(np.uint32) for j in range(most)]
+    c, grams = np.full(a.shape, 0xFFFFFFFF, np.uint32), [np.array([zlib.crc32(m.encode()) for m in marked], np.uint32)[:, None]]
+    for k in range(min(max(NGRAMS), size)):
+        c = c[:, : size - k]
+        for j, byte in enumerate(planes):
+            now = _CRC[(c ^ byte[:, k:]) & np.uint32(0xFF)] ^ (c >> np.uint32(8))
+            c = now if j == 0 else np.where(n[:, k:] > j, now, c)
+        if k + 1 in NGRAMS:
+            grams.append(~c)
+    return scores[np.concatenate(grams, axis=1) % np.uint32(BUCKETS)].mean(axis=1)
+
+
 def held_out(doc_id):
     return (F.crc32(doc_id.cast("string").cast("binary")) % 3) == 1
 
@@ -178,6 +202,21 @@ class _Words(dict):
         super().__init__()
         self.scores = scores
 
+    def learn(self, texts: list[list[str]]) -> None:
+        """Look up the new words of ``texts`` together, as many as are remembered at most."""
+        words = {w for w in set().union(*texts) if len(w) <= CACHE_CHARS}
+        new = words.difference(self)
+        if len(self) + len(new) > CACHE:
+            self.clear()
+            new = words
+        by: dict[tuple, list[str]] = {}
+        for w in itertools.islice(new, CACHE):
+            by.setdefault((len(w), w.isascii()), []).append(w)
+        for (size, _), found in by.items():
+            step = max(1, ARRAY // (size + 2))
+            for i in range(0, len(found), step):
+                self.update(zip(found[i : i + step], means(found[i : i + step], self.scores).tolist(), strict=True))
+
     def __missing__(self, w):
         v = float(self.scores[subwords(w)].mean())
         if len(w) <= CACHE_CHARS:
@@ -198,10 +237,15 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
         scores, bias = shared.value
         words = _Words(scores)
         for b in batches:
-            logit = np.empty(b.num_rows)
+            logit, texts, chars = [], [], 0
             for i, t in enumerate(b.column(at)):
-                found = _WORD.findall((t.as_py() or "").lower())
-                logit[i] = bias + (sum(map(words.__getitem__, found)) / len(found) if found else 0.0)
+                t = t.as_py() or ""
+                texts.append(_WORD.findall(t.lower()))
+                chars += len(t)
+                if chars >= PIECE or i == b.num_rows - 1:
+                    words.learn(texts)
+                    logit += [bias + (sum(map(words.__getitem__, x)) / len(x) if x else 0.0) for x in texts]
+                    texts, chars = [], 0
             p = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, out])
 

@@ -73,3 +73,22 @@ def test_every_ngram_has_a_vector_and_both_classes_count():
     m = T.fit(bad + good, np.array([1] * 80 + [0] * 80))
     word = lambda w: m.scores[T.subwords(w)]
     assert (word("stupid") != 0).all() and word("stupid").mean() > 0 > word("pleasant").mean()
+
+
+def test_words_hashed_together_equal_words_one_by_one(monkeypatch):
+    """Scoring hashes a piece's new words in arrays, equal to the last bit; a word at a time took most of its time."""
+    scores = np.random.default_rng(4).normal(0, 1, T.BUCKETS).astype(np.float32)
+    odd = ["", "a", "ab", "é", "straße", "新聞", "😀x", "𐀀b", "e\u0301a", "x" * 64, "新" * 64, "aé新😀" * 16, "x" * 65, "12_3"]
+    texts = [odd, [f"w{i}é"[: 2 + i % 4] + "ß" * (i % 9) for i in range(500)], [f"word{i}" for i in range(500)]]
+    want = {w: float(scores[T.subwords(w)].mean()) for t in texts for w in t}
+    monkeypatch.setattr(T, "ARRAY", 200)
+    alone, one = [], T.subwords
+    monkeypatch.setattr(T, "subwords", lambda w: alone.append(w) or one(w))
+    known = T._Words(scores)
+    known.learn(texts)
+    assert {w: known[w] for w in want} == want and alone == ["x" * 65]
+    monkeypatch.setattr(T, "CACHE", 100)
+    known = T._Words(scores)
+    for t in texts:
+        known.learn([t])
+        assert len(known) <= 100 and all(known[w] == want[w] for w in t)
